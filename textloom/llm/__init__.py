@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("packing", "bpe", "langid", "quality", "simhash")
+_MODULES = ("packing", "bpe", "langid", "ann", "quality", "simhash")
 
 
 def queries() -> dict:
