@@ -131,7 +131,7 @@ def learn(measured: DataFrame, labels: DataFrame) -> Discriminant:
     """Fits on the labelled rows of ``measured`` (doc_id, x) whose id's crc32 is no multiple of five."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(doc_crc() % 5 != 0).select("doc_id", F.col("quality").cast("int").alias("quality"))
     # the sums of a task stay apart and are added up in pairs on the executors
-    parts = measured.join(known, "doc_id").select("quality", "x").mapInArrow(_moments, "c long, n double, s array<double>, q array<double>")
+    parts = measured.join(known.hint("shuffle_hash"), "doc_id").select("quality", "x").mapInArrow(_moments, "c long, n double, s array<double>, q array<double>")
     add = lambda name, width: F.array(*[F.sum(F.col(name)[k]) for k in range(width)]).alias(name)
     rows = parts.groupBy("c").agg(F.sum("n").alias("n"), add("s", D), add("q", D * D)).collect()
     return Discriminant({r["c"]: (r["n"], np.array(r["s"]), np.array(r["q"]).reshape(D, D)) for r in rows})
@@ -159,9 +159,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, columns as they are."""
     spark, names = docs.sparkSession, docs.columns
-    taught = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id").distinct()
-    sample = staged(docs.select("doc_id", "text").join(taught, "doc_id", "left_semi").select("doc_id", statistics_column()("text").alias("x")), "statistics")
-    model = spark.sparkContext.broadcast(learn(sample, labels))
+    # the statistics of all documents, not the texts of the labelled ones, meet the labels: texts are never shuffled
+    measured = staged(docs.select("doc_id", statistics_column()("text").alias("x")), "statistics")
+    model = spark.sparkContext.broadcast(learn(measured, labels))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
