@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("packing", "bpe", "warc", "langid", "matroska", "ann", "quality", "simhash")
+_MODULES = ("packing", "licences", "bpe", "warc", "langid", "matroska", "ann", "quality", "chat", "simhash")
 
 
 def queries() -> dict:
