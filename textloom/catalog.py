@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.config import DEFAULT_BOOSTS, scratch_path
+from textloom.config import DEFAULT_BOOSTS, materialized, scratch_path
 from textloom.functions import geo, language, text, urls, vectors
 from textloom.operators import embeddings, frames, places, scoring, wmd
 from textloom.operators import text as text_ops
@@ -24,6 +24,14 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events with an instant for their time of day, whatever the session's zone."""
+    e = _t(spark, sf, "events")
+    if e.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        e = e.withColumn("ts", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")))
+    return e
+
+
 # frames ------------------------------------------------------------------------------------------------------
 
 
@@ -100,7 +108,7 @@ def parquet_overwrite(spark, sf):
 
 
 def _event_log(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "events")
+    e = _events(spark, sf)
     payload = F.when(F.col("event_type") != "error", F.col("value"))
     return topics.with_event_columns(e, F.col("user_id"), F.unix_seconds("ts"), payload)
 
@@ -117,7 +125,7 @@ def es_latest_with_ties(spark, sf):
 def key_split(spark, sf):
     key = F.concat_ws(".", "event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
     entity, produced = topics.split_string_key(F.col("key"))
-    return _t(spark, sf, "events").select("event_id", key.alias("key")).select("event_id", entity.alias("entity"), produced.alias("produced"))
+    return _events(spark, sf).select("event_id", key.alias("key")).select("event_id", entity.alias("entity"), produced.alias("produced"))
 
 
 # text ------------------------------------------------------------------------------------------------------------
@@ -192,7 +200,7 @@ def _dictionary(spark: SparkSession, sf: str, words: DataFrame) -> embeddings.Wo
     n = own.count()
     pick = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long"), F.lit(n))
     table = words.withColumn("vec_id", pick).join(own, "vec_id").select("lang", "word", "vector")
-    return embeddings.WordVectors(table, LANGS, "en", DIM)
+    return embeddings.WordVectors(materialized(table, "dictionary"), LANGS, "en", DIM)
 
 
 def _doc_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +208,7 @@ def _doc_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_docs(spark, sf):
-    docs = _doc_words(spark, sf)
+    docs = materialized(_doc_words(spark, sf), "words")
     words = text_ops.vocabulary([(docs, "lang", "words")]).withColumnRenamed("language", "lang")
     made = _dictionary(spark, sf, words).embed(docs, "lang", "words", "vector")
     query = _t(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]
@@ -326,13 +334,13 @@ def url_redirects(spark, sf):
 
 
 def json_infer(spark, sf):
-    parsed = frames.from_inferred_json(_t(spark, sf, "events").select("event_id", "props"), "props")
+    parsed = frames.from_inferred_json(_events(spark, sf).select("event_id", "props"), "props")
     return parsed.select("event_id", F.col("props.k").cast("long").alias("k"))
 
 
 def schema_ids(spark, sf):
     framed = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.col("event_id") * 7 % 65521), 8, "0"), F.lit("ff")))
-    return _t(spark, sf, "events").select("event_id", schema_id(framed).cast("long").alias("schema_id")).where(F.col("schema_id").isin(*range(0, 65521, 11)))
+    return _events(spark, sf).select("event_id", schema_id(framed).cast("long").alias("schema_id")).where(F.col("schema_id").isin(*range(0, 65521, 11)))
 
 
 # streams -------------------------------------------------------------------------------------------------------------
@@ -341,7 +349,7 @@ def schema_ids(spark, sf):
 def _event_stream(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
     """The events as a stream, with one more far ahead in time that moves the watermark past all of them."""
     path = scratch_path(spark, "events")
-    e = _t(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value").where(where)
+    e = _events(spark, sf).select("event_id", "ts", "user_id", "event_type", "value").where(where)
     last = e.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("flush").alias("event_type"), F.lit(0.0).alias("value"))
     e.coalesce(1).write.parquet(f"{path}/a")
     last.coalesce(1).write.parquet(f"{path}/b")
@@ -376,7 +384,7 @@ def stream_event_sourcing(spark, sf):
     root = scratch_path(spark, "topics")
     transport = topics.FileTransport(f"{root}/topics")
     value = F.when(F.col("event_type") != "error", F.to_json(F.struct("event_id", "value")))
-    transport.publish(_t(spark, sf, "events").select(F.concat_ws(".", F.col("user_id").cast("string"), F.unix_seconds("ts").cast("string")).alias("key"), value.alias("value")), "events")
+    transport.publish(_events(spark, sf).select(F.concat_ws(".", F.col("user_id").cast("string"), F.unix_seconds("ts").cast("string")).alias("key"), value.alias("value")), "events")
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
     settings = topics.TopicSettings(topics.TopicName("events"), transport, topics.SinkSettings(f"{root}/sink", cache=False), schemas={"value": schema}, entity_key=lambda df: topics.split_string_key(F.col("key")), payload="value")
     table = topics.ParquetTopicTable(spark, settings)
@@ -391,11 +399,13 @@ def search(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
     """Semantic search with the standard stages: documents and a query text, both cleaned, cut to words, embedded; score and boost."""
     body, query = TextColumns("text"), TextColumns("query")
     docs = _t(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias(body.language))
-    words = text_ops.vocabulary([(docs.select(body.language, text.tokens(text.clean_text(F.col("text"))).alias("w")), body.language, "w")]).withColumnRenamed("language", "lang")
-    settings = Settings(supported=LANGS, dictionary=_dictionary(spark, sf, words), acronyms={})
-    prepared = build([PipelineInput([body], ("TextCleaner", "Tokenizer", "StopWordsRemover", "EmbeddingsModel"))], settings).transform(docs)
+    cut = ("TextCleaner", "Tokenizer", "StopWordsRemover")
+    settings = Settings(supported=LANGS, acronyms={})
+    docs = materialized(build([PipelineInput([body], cut)], settings).transform(docs).drop("text", body.clean, body.tokens), "words")
+    settings.dictionary = _dictionary(spark, sf, text_ops.vocabulary([(docs, body.language, body.words)]).withColumnRenamed("language", "lang"))
+    prepared = build([PipelineInput([body], ("EmbeddingsModel",))], settings).transform(docs)
     asked = _t(spark, sf, "benchmark").orderBy("item_id").limit(1).select(F.col("text").alias("query"), F.lit("en").alias(query.language))
-    asked = build([PipelineInput([query], ("TextCleaner", "Tokenizer", "StopWordsRemover", "EmbeddingsModel"))], settings).transform(asked).first()
+    asked = build([PipelineInput([query], (*cut, "EmbeddingsModel"))], settings).transform(asked).first()
     vector = F.array(*[F.lit(float(x)).cast("float") for x in asked[query.vector]])
     pair = SimilarityColumns(query, body)
     scored = build([PipelineInput([pair], ("SimilarityScorer", "OtherLanguageBooster"))], settings).transform(prepared.withColumns({query.vector: vector, query.language: F.lit("en")}))

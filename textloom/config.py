@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Romance, Germanic, Slavic and the others, as ISO 639-1 codes.
 SUPPORTED_LANGUAGES = tuple(sorted("es fr it pt ro ca".split() + "en de nl da sv no".split() + "pl cs sk sl hr ru uk bg mk".split() + "ar he el hu fi et id tr vi".split()))
@@ -71,16 +71,33 @@ def build_session(settings: SessionSettings | None = None) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that executors share: ``spark.checkpoint.dir``, or a private one where it is unset."""
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """A folder of this application in the one that executors share (``spark.checkpoint.dir``), or a private one where that is unset; a local one goes when the process ends."""
     import atexit
     import shutil
     import tempfile
+
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        _SCRATCH[app] = f"{root.rstrip('/')}/textloom-{app}" if root else "file://" + tempfile.mkdtemp(prefix="textloom-")
+        local = _SCRATCH[app].removeprefix("file://")
+        if local.startswith("/"):
+            atexit.register(shutil.rmtree, local, True)
+    return _SCRATCH[app]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, own, True)
-        root = f"file://{own}"
-    return f"{root.rstrip('/')}/textloom-{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Written once to the scratch folder and read back: used more than once, computed once, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
