@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or a private one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, _OWN_DIRS[app], True)
-    return "file://" + _OWN_DIRS[app]
-
+from textloom.config import scratch_path
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/textloom-{label}-{uuid.uuid4().hex}"
+__all__ = ["discard", "doc_crc", "scratch_path", "staged", "table", "text_or_empty"]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
