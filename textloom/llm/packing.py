@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,30 +51,24 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
+        self.model = self.tokenizer.model
+        # how the byte-level step writes the plain characters that aren't ASCII
+        self.spelled = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"}
         self.known: dict[str, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                raw, begin = ids.tobytes(), 0
-                for word, stop in zip(some, (stops * 4).tolist(), strict=True):
-                    self.known[word] = raw[begin:stop]
-                    begin = stop
-            else:
-                for word in some:
-                    self.known[word] = self._direct(word)
+    def _learn(self, words: Iterable[str]) -> None:
+        """Plain words go to the model as they are; every other step of the tokenizer would leave them alone."""
+        known, tokenize, spelled = self.known, self.model.tokenize, self.spelled
+        for word in words:
+            known[word] = array("I", [t.id for t in tokenize(word if word.isascii() else word.translate(spelled))]).tobytes()
+
+    def _room(self, n: int) -> None:
+        """Keeps the words that were learned first, which are the frequent ones."""
+        if len(self.known) + n > CACHE_WORDS:
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
 
     def encode(self, text: str) -> bytes:
         out, at = [], 0
@@ -89,9 +85,8 @@ class WordEncoder:
             words = _WORD.findall(part.lower())
             new = set(words).difference(self.known)
             if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    new = set(words)
-                self._learn(list(new))
+                self._room(len(new))
+                self._learn(set(words).difference(self.known))
             out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 
