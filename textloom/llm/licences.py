@@ -16,6 +16,7 @@ null id stays null; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -225,7 +226,12 @@ class LicenceModel:
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LicenceModel:
     """Trains with paragraphs of a bounded sample of documents (the first by a hash of the text) as negatives."""
-    some = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, sample_chars).alias("t")).orderBy("h", "t").limit(sample_docs).collect()
+    known = docs.where("text is not null").select("text")
+    n = known.count()
+    # only the texts whose hash is low enough to be among the first are read further; four times as many as needed, so that copies can go
+    share = max(1, min(1 << 30, math.ceil((1 << 30) * 4 * sample_docs / max(1, n))))
+    low = F.pmod("h", F.lit(1 << 30))
+    some = known.withColumn("h", F.xxhash64("text")).where(low < share).select("h", F.substring("text", 1, sample_chars).alias("t")).distinct().orderBy(low, "h", "t").limit(sample_docs).collect()
     lines = list(dict.fromkeys(line for r in some for line in r["t"].split("\n") if line.strip()))
     return LicenceModel(lines[: 4 * sample_docs])
 
