@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -248,9 +249,9 @@ class ByteBpe:
             pieces = _PLAIN_PIECE.findall(part) if _PLAIN.match(part) else self.pattern.findall(part)
             new = set(pieces).difference(known)
             if new:
-                if len(known) + len(new) > CACHE_PIECES:
-                    known.clear()
-                    new = set(pieces)
+                if len(known) + len(new) > CACHE_PIECES:  # the first ones are the frequent ones
+                    known = self.known = dict(islice(known.items(), CACHE_PIECES // 2))
+                    new = set(pieces).difference(known)
                 for piece in new:
                     known[piece] = self._piece(piece)
             yield b"".join(map(known.__getitem__, pieces))
