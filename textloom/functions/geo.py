@@ -18,7 +18,7 @@ def haversine_km(a: Column, b: Column) -> Column:
     lat_a, lat_b = F.radians(a["latitude"]), F.radians(b["latitude"])
     half_lat, half_lon = (lat_b - lat_a) / 2, (F.radians(b["longitude"]) - F.radians(a["longitude"])) / 2
     h = F.pow(F.sin(half_lat), 2) + F.cos(lat_a) * F.cos(lat_b) * F.pow(F.sin(half_lon), 2)
-    h = F.least(F.lit(1.0), h)
+    h = F.when(h > 1, F.lit(1.0)).otherwise(h)
     return F.coalesce((2 * EARTH_KM * F.atan2(F.sqrt(h), F.sqrt(1 - h))).cast("float"), F.lit(UNKNOWN_KM).cast("float"))
 
 

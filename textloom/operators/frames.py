@@ -94,8 +94,21 @@ def set_nullable(df: DataFrame, nullable: bool) -> DataFrame:
     """The same rows with every column nullable or not; a null in a column that may not have any fails at run time."""
     if nullable:
         return df.to(T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema.fields]))
-    checked = [F.coalesce(F.col(_quoted(f.name)), F.raise_error(F.lit(f"null in {f.name}")).cast(f.dataType)).alias(f.name) for f in df.schema.fields]
-    return df.select(*checked).to(T.StructType([T.StructField(f.name, f.dataType, False, f.metadata) for f in df.schema.fields])) if not any(f.nullable for f in df.select(*checked).schema.fields) else df.select(*checked)
+    # the default is never reached: it tells the engine that the column can't be null
+    return df.select(*[F.coalesce(F.col(_quoted(f.name)), F.raise_error(F.lit(f"null in {f.name}")).cast(f.dataType), _some(f.dataType)).alias(f.name) for f in df.schema.fields])
+
+
+def _some(kind: T.DataType) -> Column:
+    """Any value of a type."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_some(f.dataType).alias(f.name) for f in kind.fields]).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, T.MapType):
+        return F.create_map().cast(kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(False) if isinstance(kind, T.BooleanType) else F.lit("").cast(kind) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(0).cast(kind)
 
 
 def empty_like(df: DataFrame) -> DataFrame:

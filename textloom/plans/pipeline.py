@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,7 +306,6 @@ def build(inputs: list[PipelineInput], settings: Settings | None = None) -> Pipe
 
 def udf_stage(name: str, input_col: str, output_col: str, function: Callable, return_type) -> Stage:
     """A stage from a Python function of one value; it runs in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf(return_type)
     def run(values: pd.Series) -> pd.Series:
