@@ -29,7 +29,7 @@ UNKNOWN = "und"
 BLOCK = 256
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG = 64, 1500, 48_000
 MAX_ALPHABET = 64
-_FAIL = 30
+_FAIL = 29
 _STATE = (1 << _FAIL) - 1
 _SEGMENT = 1 << 20
 
@@ -65,7 +65,7 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """The automata of all languages in one table: entry = state offset of the target, with a bit where a phrase ended."""
+    """The automata of all languages in one table: an entry is the target's offset and, above it, how many phrases ended."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(k for k, texts in samples.items() if any(any(c.isalpha() for c in t) for t in texts))
@@ -90,8 +90,10 @@ class CrossParser:
                 if row:
                     grid[s, list(row)] = list(row.values())
             failed = grid == 0
+            ended = failed.astype(np.int64)
+            ended[1:] += failed[1:] & failed[0]  # a character that the language lacks is a phrase of its own
             grid = np.where(failed, grid[0], grid) * self.width + at
-            tables.append((grid | failed.astype(np.int64) << _FAIL).ravel())
+            tables.append((grid | ended << _FAIL).ravel())
             self.root.append(at)
             self.bits.append(math.log2(max(2, len(codes))))
             at += grid.size
