@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +59,16 @@ class SessionSettings:
         return found | self.conf
 
 
+@contextmanager
+def timed(label: str, report: Callable[[str], object] = print) -> Iterator[None]:
+    """Reports how long a block took."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        report(f"{label}: {time.perf_counter() - began:.3f} s")
+
+
 def is_testing() -> bool:
     return os.environ.get("TESTING", "").lower() in ("1", "true", "yes")
 
