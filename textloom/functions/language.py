@@ -21,10 +21,18 @@ def detect_language(text: Column, supported: Iterable[str], default: str) -> Col
     """The supported language with most stop-word hits (ties: alphabetical order); the default for null, empty or undecided texts."""
     codes = sorted(set(supported))
     lowered = F.lower(text)
-    words = F.split(lowered, r"[^\p{L}\p{N}]+")
     listed = [c for c in codes if c in STOP_WORD_LANGUAGES and c != "ru"]
-    hits = F.array(*[F.struct(stop_word_hits(words, c).alias("n"), F.lit(-i).alias("order"), F.lit(c).alias("code")) for i, c in enumerate(listed)]) if listed else None
-    best = F.array_max(hits) if hits is not None else F.struct(F.lit(0).alias("n"), F.lit(0).alias("order"), F.lit(default).alias("code"))
+    every = sorted({w for c in listed for w in stop_words(c)})
+
+    def scored(words: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(stop_word_hits(words, c).alias("n"), F.lit(-i).alias("order"), F.lit(c).alias("code")) for i, c in enumerate(listed)]))
+
+    if listed:
+        # the words that are in any list, bound once: the text is split once, not once a language
+        kept = F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda w: w.isin(*every))
+        best = F.element_at(F.transform(F.array(kept), scored), 1)
+    else:
+        best = F.struct(F.lit(0).alias("n"), F.lit(0).alias("order"), F.lit(default).alias("code"))
     chosen = F.when(best["n"] > 0, best["code"])
     for code, letters in _SCRIPTS:
         if code in codes:

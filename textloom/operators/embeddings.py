@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.config import materialized
 from textloom.functions.text import or_default
 from textloom.functions.vectors import dot
 from textloom.operators.text import vocabulary
 
-#: A dictionary up to this size may be sent whole to every worker; a larger one is joined.
-BROADCAST_BYTES = 64 << 20
+#: A dictionary whose vectors take up to this many bytes may be sent whole to every worker; a larger one is joined.
+BROADCAST_BYTES = 128 << 20
 
 
 class WordVectors:
@@ -28,7 +29,7 @@ class WordVectors:
 
     def embed(self, df: DataFrame, language: str, words: str, output: str, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
         """Sum of the vectors of the lower-cased words, scaled to length one; zeros where no word is known, null where an input is null."""
-        size = self.table.count() * self.dim * 8
+        size = self.table.count() * self.dim * 4
         return (self.embed_with_broadcast if size <= max_broadcast else self.embed_with_join)(df, language, words, output)
 
     def embed_with_broadcast(self, df: DataFrame, language: str, words: str, output: str) -> DataFrame:
@@ -59,10 +60,10 @@ class WordVectors:
     def embed_with_join(self, df: DataFrame, language: str, words: str, output: str) -> DataFrame:
         """The same without a broadcast: counts per row, a join by (language, word), a sum per dimension."""
         code = or_default(F.col(language), self.supported, self.default)
-        keyed = _with_row_id(df)
+        # written with their numbers, so that these stay the same whatever is computed again
+        keyed = materialized(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
         lowered = F.transform(words, lambda w: F.lower(w))
-        counted = F.transform(F.array_distinct(lowered), lambda w: F.struct(w.alias("w"), F.size(F.filter(lowered, lambda x: x == w)).alias("n")))
-        bags = keyed.where(F.col(language).isNotNull() & F.col(words).isNotNull()).select("_row", code.alias("lang"), F.explode(counted).alias("c")).select("_row", "lang", F.col("c.w").alias("word"), F.col("c.n").alias("n"))
+        bags = keyed.where(F.col(language).isNotNull() & F.col(words).isNotNull()).select("_row", code.alias("lang"), F.explode(lowered).alias("word")).groupBy("_row", "lang", "word").agg(F.count("*").alias("n"))
         sums = bags.join(self.table, ["lang", "word"]).groupBy("_row").agg(*[F.sum(F.col("vector")[i].cast("double") * F.col("n")).alias(f"_s{i}") for i in range(self.dim)])
         total = F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(self.dim)])
         joined = keyed.join(sums, "_row", "left").withColumn("_t", total).withColumn("_n", F.sqrt(dot(F.col("_t"), F.col("_t"))))
@@ -136,13 +137,6 @@ def load(spark, path: str, supported: tuple[str, ...], default_language: str, di
     return WordVectors(spark.read.parquet(path), supported, default_language, dim)
 
 
-def _with_row_id(df: DataFrame) -> DataFrame:
-    # numbers that are the same whenever a row is computed again, unlike those by partition
-    order = Window.partitionBy("_h").orderBy("_j")
-    text = F.to_json(F.struct("*"))
-    return df.withColumn("_j", text).withColumn("_h", F.xxhash64("_j")).withColumn("_row", F.concat_ws(":", F.sha2("_j", 256), F.row_number().over(order).cast("string"))).drop("_j", "_h")
-
-
 def _literal(vector) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
