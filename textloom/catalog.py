@@ -32,7 +32,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e
 
 
-# frames ------------------------------------------------------------------------------------------------------
+# frames --
 
 
 def _nested_nation(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +88,7 @@ def frame_id_to_string(spark, sf):
     return frames.ids_to_strings(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus"))
 
 
-# input and output ----------------------------------------------------------------------------------------------
+# input and output --
 
 
 def csv_roundtrip(spark, sf):
@@ -104,7 +104,7 @@ def parquet_overwrite(spark, sf):
     return io.read_frame("region")
 
 
-# event sourcing ------------------------------------------------------------------------------------------------
+# event sourcing --
 
 
 def _event_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +128,7 @@ def key_split(spark, sf):
     return _events(spark, sf).select("event_id", key.alias("key")).select("event_id", entity.alias("entity"), produced.alias("produced"))
 
 
-# text ------------------------------------------------------------------------------------------------------------
+# text --
 
 TAIL = " See https://x.org/a_b now;then(ok)a.B and x_y 3,14 m 15.000 n a,1 1,b c,d it´s (ii) A/B-C"
 
@@ -191,7 +191,7 @@ def normalize(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.md5(text.normalizer("normalize")("text")).alias("digest"))
 
 
-# vectors ---------------------------------------------------------------------------------------------------------
+# vectors --
 
 
 def _dictionary(spark: SparkSession, sf: str, words: DataFrame) -> embeddings.WordVectors:
@@ -264,7 +264,7 @@ def word_movers(spark, sf):
     return made.select("item_id", F.round(F.col("distance").cast("double"), 3).alias("distance"))
 
 
-# scores and places -------------------------------------------------------------------------------------------------
+# scores and places --
 
 
 def _three(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +310,7 @@ def coordinates(spark, sf):
     return made.select("n_nationkey", F.col("at.latitude").cast("double").alias("latitude"), F.col("at.longitude").cast("double").alias("longitude"))
 
 
-# URLs --------------------------------------------------------------------------------------------------------------
+# URLs --
 
 
 def url_valid(spark, sf):
@@ -330,7 +330,7 @@ def url_redirects(spark, sf):
     return urls.expand_with_table(pages.select(F.concat(F.lit("u"), key).alias("url")), chain).select(F.col("origUrl").alias("orig"), F.col("finalUrl").alias("final"), F.col("numRedirects").cast("long").alias("hops"))
 
 
-# JSON and ids ------------------------------------------------------------------------------------------------------
+# JSON and ids --
 
 
 def json_infer(spark, sf):
@@ -343,7 +343,7 @@ def schema_ids(spark, sf):
     return _events(spark, sf).select("event_id", schema_id(framed).cast("long").alias("schema_id")).where(F.col("schema_id").isin(*range(0, 65521, 11)))
 
 
-# streams -------------------------------------------------------------------------------------------------------------
+# streams --
 
 
 def _event_stream(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
@@ -392,7 +392,7 @@ def stream_event_sourcing(spark, sf):
     return table.data.select("event_id", F.col("value").alias("amount"))
 
 
-# the pipeline ----------------------------------------------------------------------------------------------------------
+# the pipeline --
 
 
 def search(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:

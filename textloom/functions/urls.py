@@ -16,14 +16,14 @@ from textloom.functions.geo import COUNTRIES
 
 _LETTER = r"a-z0-9¡-￿"
 _LABEL = rf"[{_LETTER}](?:[{_LETTER}-]*[{_LETTER}])?"
-_BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
-_HOST_IP = rf"(?:22[0-3]|2[01]\d|1\d\d|[1-9]\d?)\.{_BYTE}\.{_BYTE}\.(?:25[0-4]|2[0-4]\d|1\d\d|[1-9]\d?)"
+_BYTE = r"(?:1?\d{1,2}|2(?:[0-4]\d|5[0-5]))"
+_HOST_IP = rf"(?:22[0-3]|2[01]\d|1\d\d|[1-9]\d?)\.{_BYTE}\.{_BYTE}\.(?:1\d\d|[1-9]\d?|2(?:[0-4]\d|5[0-4]))"
 _RESERVED = r"(?:10|127)\.|169\.254\.|192\.168\.|172\.(?:3[01]|2\d|1[6-9])\."
-VALID_URL = rf"^(?:ftp|https?)://(?:[^\s/?#@]+@)?(?:(?!{_RESERVED}){_HOST_IP}|(?:{_LABEL}\.)+[a-z¡-￿]{{2,}})(?::\d{{2,5}})?(?:[/?#]\S*)?$"
+VALID_URL = rf"^(?:ftp|https?)://(?:[^\s/?#@]+@)?(?:(?!{_RESERVED}){_HOST_IP}|(?:{_LABEL}\.)+[a-z¡-￿]{{2,}})(?::\d{{2,5}})?(?:$|[#/?]\S*$)"
 
 _GENERIC = "com org net edu gov mil int info biz name pro aero coop museum io co ai app dev xyz online site shop blog tech cloud news eu tv me cc ws to ly gl fm am mp bar example test".split()
 TLDS = tuple(sorted({*_GENERIC, *(c.lower() for c in COUNTRIES), "uk"}))
-_CANDIDATE = r"(?i)((?:(?:https?|ftp)://(?:[^\s/?#@<>\"']+@)?)?(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}(?::\d{2,5})?(?:[/?#][^\s<>\"']*)?)"
+_CANDIDATE = r"(?i)((?:(?:https?|ftp)://(?:[^\s/?#@<>\"']+@)?)?(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}(?::[0-9]{2,5})?(?:[#/?][^\s<>\"']*)?)"
 
 
 def is_valid_url(url: Column) -> Column:

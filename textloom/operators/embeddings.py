@@ -25,7 +25,7 @@ class WordVectors:
     def __init__(self, table: DataFrame, supported: tuple[str, ...], default_language: str, dim: int):
         self.table, self.supported, self.default, self.dim = table, supported, default_language, dim
 
-    # documents ------------------------------------------------------------------------------------------
+    # documents --
 
     def embed(self, df: DataFrame, language: str, words: str, output: str, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
         """Sum of the vectors of the lower-cased words, scaled to length one; zeros where no word is known, null where an input is null."""
@@ -71,7 +71,7 @@ class WordVectors:
         vector = F.when(F.col(language).isNotNull() & F.col(words).isNotNull(), scaled)
         return joined.select(*[F.col(f"`{c}`") for c in df.columns], vector.alias(output))
 
-    # words ----------------------------------------------------------------------------------------------
+    # words --
 
     def _require(self, lang: str) -> None:
         if lang not in self.supported:
@@ -116,7 +116,7 @@ class WordVectors:
         target = sum((known[w.lower()] for w in positive if w.lower() in known), np.zeros(self.dim)) - sum((known[w.lower()] for w in negative if w.lower() in known), np.zeros(self.dim))
         return self._top(lang, _literal(_unit(target)), n, names)
 
-    # caches ---------------------------------------------------------------------------------------------
+    # caches --
 
     def restricted_to(self, frames: list[tuple[DataFrame, str, str]]) -> WordVectors:
         """The dictionary less the words that the (frame, language, words) don't use: a cache to persist or store."""

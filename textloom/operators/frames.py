@@ -40,7 +40,7 @@ def expand(df: DataFrame, column: str) -> DataFrame:
 
 def sanitize_column_names(df: DataFrame, replacement: str = "", inverse: dict[str, str] | None = None) -> DataFrame:
     """Names of letters with case and digits only; ``inverse`` gets new name -> old one."""
-    names = [regex.sub(r"[^\p{Ll}\p{Lu}0-9]", replacement, c) for c in df.columns]
+    names = [regex.sub(r"[^0-9\p{Lu}\p{Ll}]", replacement, c) for c in df.columns]
     if inverse is not None:
         inverse.update(zip(names, df.columns, strict=True))
     return df.toDF(*names)

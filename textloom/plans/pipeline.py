@@ -99,7 +99,7 @@ def required_columns(wanted: list[str], provided: list[str], stages: list[Stage]
     return list(dict.fromkeys(c for c in need if c not in made))
 
 
-# stages ------------------------------------------------------------------------------------------------------
+# stages --
 
 
 @dataclass

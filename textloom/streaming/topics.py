@@ -20,10 +20,10 @@ from textloom.sources.serde import deserialize, serialize
 
 Transform = Callable[[DataFrame], DataFrame]
 ENVELOPE = "key binary, value binary, topic string, timestamp timestamp"
-KAFKA_COLUMNS = ("key", "unique_entity_key", "producer_timestamp", "timestamp", "kafka_value_is_null")
+KAFKA_COLUMNS = tuple("key unique_entity_key producer_timestamp timestamp kafka_value_is_null".split())
 
 
-# transports -------------------------------------------------------------------------------------------------
+# transports --
 
 
 class Transport(Protocol):
@@ -79,7 +79,7 @@ class FileTransport:
         return made.writeStream.format("parquet").option("path", self._path(topic)).option("checkpointLocation", checkpoint)
 
 
-# event sourcing ----------------------------------------------------------------------------------------------
+# event sourcing --
 
 
 def split_string_key(key: Column) -> tuple[Column, Column]:
@@ -132,7 +132,7 @@ def upsert_batch(spark: SparkSession, path: str, entity: str = "unique_entity_ke
     return apply
 
 
-# configuration -----------------------------------------------------------------------------------------------
+# configuration --
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,7 @@ class TopicNotAvailable(RuntimeError):
     pass
 
 
-# fresh tables -------------------------------------------------------------------------------------------------
+# fresh tables --
 
 
 class FreshTable:
