@@ -13,7 +13,7 @@ def with_clean_text(df: DataFrame, column: str, output: str, acronyms: dict[str,
     ruled = df.withColumn(output, X.apply_rules(F.col(column)))
     if not acronyms:
         return ruled
-    # a generated column that optimisation can't inline keeps the rules from being repeated in every branch
+    # the optimizer doesn't merge a projection into one that uses its costly result several times, so the rules run once
     return ruled.withColumn(output, F.when(X.mentions_acronym(F.col(output), acronyms), X.expand_acronyms(F.col(output), acronyms)).otherwise(F.col(output)))
 
 
