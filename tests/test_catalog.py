@@ -43,3 +43,17 @@ def test_plans(spark, sf):
     tokens = plan(catalog.tokens(spark, sf))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in tokens and "Python" not in tokens and "Exchange" not in tokens
     assert "Python" not in plan(catalog.lang_detect(spark, sf)) and "PushedFilters: [IsNotNull(vec_id), Not(EqualTo(vec_id,0))]" in plan(catalog.similarity_top_k(spark, sf))
+
+
+def test_every_page_is_expanded(spark, sf):
+    small = sf.replace("0.001", "0.01")
+    ids = [r.page_id for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id").collect()]
+    assert max(ids) >= 200
+    hops = {f"u{i}": f"u{i + 1}" for i in ids if i % 7 != 6}
+    want = []
+    for i in ids:
+        now, n = f"u{i}", 0
+        while now in hops and n < 11:
+            now, n = hops[now], n + 1
+        want.append((f"u{i}", now, n))
+    assert sorted(tuple(r) for r in catalog.url_redirects(spark, small).select("orig", "final", "hops").collect()) == sorted(want)

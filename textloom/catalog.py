@@ -324,7 +324,7 @@ def url_detect(spark, sf):
 
 
 def url_redirects(spark, sf):
-    pages = _t(spark, sf, "pages").where("page_id < 200")
+    pages = _t(spark, sf, "pages")
     key = F.col("page_id")
     chain = pages.select(F.concat(F.lit("u"), key).alias("url"), F.concat(F.lit("u"), key + 1).alias("location")).where(key % 7 != 6)
     return urls.expand_with_table(pages.select(F.concat(F.lit("u"), key).alias("url")), chain).select(F.col("origUrl").alias("orig"), F.col("finalUrl").alias("final"), F.col("numRedirects").cast("long").alias("hops"))
