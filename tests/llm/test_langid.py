@@ -32,6 +32,41 @@ def test_phrases_against_plain_search():
         assert got[k].tolist() == [greedy(refs[lang], "".join(chr(65 + c) for c in b)) for b in blocks]
 
 
+def test_phrases_of_large_alphabets_against_plain_search():
+    rng = np.random.default_rng(5)
+    ideographs, astral, greek = [chr(0x4E00 + i) for i in range(150)], [chr(0x20000 + i) for i in range(20)], [chr(0x3B1 + i) for i in range(16)]
+    pools = {"gg": [*greek, " "], "xx": [*ideographs, *astral, " "], "yy": [*ideographs[80:], *greek[:3], "a", " "]}
+    texts = {k: ["".join(rng.choice(pool, 900, p=rng.dirichlet(np.ones(len(pool))))) for _ in range(3)] for k, pool in pools.items()}
+    parser = L.CrossParser(texts)
+    fold = lambda t: "".join(map(chr, parser._fold(t) + 65))
+    refs = {k: "".join(fold(t) + chr(65) for t in texts[k]) for k in texts}
+    blocks = [parser._fold(t[a : a + n]) for pool in texts.values() for t in pool for a, n in ((0, 90), (300, 200), (500, 1))]
+    blocks += [parser._fold("".join(rng.choice([*ideographs, *astral, *greek, "z", "\u05d0"], 120))) for _ in range(5)]
+    blocks = [b for b in blocks if len(b)]
+    assert len(parser.keys) and len({c for t in texts.values() for x in t for c in x if c.isalpha()}) == parser.width - 2
+    got = parser.phrases(blocks)
+    for k, lang in enumerate(parser.langs):
+        assert got[k].tolist() == [greedy(refs[lang], "".join(map(chr, b + 65))) for b in blocks]
+
+
+def test_scripts_and_diacritics_keep_their_letters():
+    rng = np.random.default_rng(3)
+    latin = "abcdefghijklmnopqrst"
+    words = ["".join(rng.choice(list(latin), n)) for n in rng.integers(2, 8, 300)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    firsts = {"ar": 0x628, "el": 0x3B1, "he": 0x5D0, "hi": 0x915, "ja": 0x3042, "ka": 0x10D0, "zh": 0x4E00, "gothic": 0x10330}
+    kept = {}
+    for lang, first in firsts.items():
+        letters = [c for c in map(chr, range(first, first + 60)) if c.isalpha() and c == c.lower() and c != "\u03c2"][:20]
+        kept[lang] = str.maketrans(latin, "".join(letters))
+    kept["cs"], kept["sk"] = str.maketrans("bdg", "ěřů"), str.maketrans("bdg", "ĺŕä")
+    samples = {lang: [text(200).translate(table)] for lang, table in kept.items()}
+    samples["en"], samples["ru"] = [text(2000) + " abcdefghijklmnopqrstuvwxyzàáâãåæçèéêëìíîï" * 900], [("".join(map(chr, range(0x430, 0x450))) + " ") * 900]
+    parser = L.CrossParser(samples)
+    probes = {lang: text(60).translate(table) for lang, table in kept.items()}
+    assert dict(zip(probes, parser.predict(list(probes.values()))[0])) == {lang: lang for lang in probes}
+
+
 def test_folding():
     parser = L.CrossParser({"xx": ["abc"]})
     assert parser._fold("  a--b 1c!! ".lower()).tolist() == [*parser._fold("a"), 0, *parser._fold("b"), 0, *parser._fold("c"), 0]

@@ -6,8 +6,11 @@ logarithm of its reference length, wins. Texts are lower-cased, runs of anything
 separator, and every text is parsed whole, in blocks of ``BLOCK`` characters that each begin a phrase, so that
 all blocks of a batch walk the automata in lockstep.
 
+Every letter of every reference sample keeps a code of its own. A language has columns in the table for its
+``DENSE_COLUMNS`` - 2 most frequent letters; transitions by its other letters are sorted keys, found by binary search.
+
 The reference sample is bounded by ``DOCS_PER_LANG``, ``CHARS_PER_DOC`` and ``CHARS_PER_LANG``; that bounds the
-table each worker gets (about 1.5 * chars * alphabet * 4 bytes a language; some 110 languages fit the table's index).
+table each worker gets (about 1.5 * chars * columns * 4 bytes a language; some 110 languages fit the table's index).
 
 Defined results: a text that is null, empty or has no letter is ``und`` with score 0, and so is every text when
 nothing was learned; ties go to the language first in alphabetical order; repeated rows are answered alike; a
@@ -17,6 +20,8 @@ row without an id is never learned from and not held out; other columns are igno
 from __future__ import annotations
 
 import math
+import sys
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -28,7 +33,7 @@ from textloom.llm.common import doc_crc
 UNKNOWN = "und"
 BLOCK = 256
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG = 64, 1500, 48_000
-MAX_ALPHABET = 64
+DENSE_COLUMNS = 64
 _FAIL = 29
 _STATE = (1 << _FAIL) - 1
 _SEGMENT = 1 << 20
@@ -69,30 +74,37 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(k for k, texts in samples.items() if any(any(c.isalpha() for c in t) for t in texts))
-        seen: dict[str, int] = {}
-        for lang in self.langs:
-            for text in samples[lang]:
-                for ch in text.lower():
-                    if ch.isalpha():
-                        seen[ch] = seen.get(ch, 0) + 1
-        letters = sorted(sorted(seen), key=lambda c: -seen[c])[: MAX_ALPHABET - 2]
+        lowered = {lang: [t.lower() for t in samples[lang]] for lang in self.langs}
+        seen = {lang: Counter(c for t in lowered[lang] for c in t if c.isalpha()) for lang in self.langs}
+        letters = sorted(set().union(*seen.values()))
         self.width = len(letters) + 2
-        self.lut = np.array([self.width - 1 if chr(i).isalpha() else 0 for i in range(1 << 16)], np.uint8)
-        for k, ch in enumerate(letters):
-            if ord(ch) < 1 << 16:
-                self.lut[ord(ch)] = k + 1
-        tables, self.root, self.bits, at = [], [], [], 0
-        for lang in self.langs:
-            codes = np.concatenate([np.append(self._fold(t.lower()), 0) for t in samples[lang]])
+        self.lut = np.array([self.width - 1 if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)], np.int32)
+        self.lut[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.column = np.zeros((len(self.langs), self.width), np.int32)  # of a code in the language's part of the table
+        self.restart = np.zeros_like(self.column)  # the step from the root by a letter without a column, or 0
+        tables, keys, targets, self.root, self.bits, at = [], [], [], [], [], 0
+        for k, lang in enumerate(self.langs):
+            codes = np.concatenate([np.append(self._fold(t), 0) for t in lowered[lang]])
             states = suffix_automaton(codes)
-            grid = np.zeros((len(states), self.width), np.int64)
+            dense = sorted(sorted(seen[lang]), key=lambda c: -seen[lang][c])[: DENSE_COLUMNS - 2]
+            columns = len(dense) + 2
+            self.column[k, 1:] = columns - 1
+            self.column[k, self.lut[[ord(c) for c in dense]]] = np.arange(1, len(dense) + 1)
+            place = self.column[k].tolist()
+            grid = np.zeros((len(states), columns), np.int64)
             for s, row in enumerate(states):
-                if row:
-                    grid[s, list(row)] = list(row.values())
+                for c, to in row.items():
+                    if c == 0 or place[c] < columns - 1:
+                        grid[s, place[c]] = to
+                    else:
+                        keys.append((at + s * columns) * self.width + c)
+                        targets.append(at + to * columns)
+                        if s == 0:
+                            self.restart[k, c] = targets[-1] | 1 << _FAIL
             failed = grid == 0
             ended = failed.astype(np.int64)
             ended[1:] += failed[1:] & failed[0]  # a character that the language lacks is a phrase of its own
-            grid = np.where(failed, grid[0], grid) * self.width + at
+            grid = np.where(failed, grid[0], grid) * columns + at
             tables.append((grid | ended << _FAIL).ravel())
             self.root.append(at)
             self.bits.append(math.log2(max(2, len(codes))))
@@ -100,13 +112,12 @@ class CrossParser:
         if at >= 1 << _FAIL:
             raise ValueError("the reference samples are too large for one table")
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
 
     def _fold(self, lowered: str) -> np.ndarray:
         points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.lut[np.minimum(points, 0xFFFF)]
-        far = np.flatnonzero(points > 0xFFFF)
-        if len(far):
-            codes[far] = [self.width - 1 if chr(p).isalpha() else 0 for p in points[far].tolist()]
+        codes = self.lut[points]
         if not len(codes):
             return codes
         keep = np.ones(len(codes), bool)
@@ -129,7 +140,9 @@ class CrossParser:
         active = np.searchsorted(-lengths, -np.arange(width), "left")  # blocks longer than k
         for k in range(width):
             n = active[k]
-            step = self.table.take(state[:, :n] + grid[k, :n])
+            step = self.table.take(state[:, :n] + self.column.take(grid[k, :n], axis=1))
+            if len(self.keys):
+                self._sparse_steps(step, state[:, :n], grid[k, :n])
             count[:, :n] += step >> _FAIL
             state[:, :n] = step & _STATE
         count += state != np.array(self.root, np.int32)[:, None]
@@ -137,6 +150,15 @@ class CrossParser:
         out[:, order] = count
         return out
 
+    def _sparse_steps(self, step: np.ndarray, state: np.ndarray, codes: np.ndarray) -> None:
+        """Replaces in ``step`` those by letters that have no column in a language's part of the table."""
+        again = self.restart.take(codes, axis=1)
+        lang, block = np.nonzero(again)
+        if len(lang):
+            key = state[lang, block].astype(np.int64) * self.width + codes[block]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            step[lang, block] = np.where(self.keys[at] == key, self.targets[at], again[lang, block])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
