@@ -105,6 +105,17 @@ def test_learns_from_allowed_rows_only(spark):
     assert parser.langs == ["aa"]
 
 
+def test_copies_do_not_shrink_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(L, "CrossParser", lambda samples: samples)
+    aa, bb = [f"aba {i} ab" for i in range(900)], [f"cdc {i} dc" for i in range(40)]
+    rows = [(3 * i, t, lang) for lang, texts in (("aa", aa), ("bb", bb + ["hot copy"] * 30_000)) for i, t in enumerate(texts)]
+    allowed = {(lang, t) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    got = L.learn(docs)
+    assert sorted(got["bb"]) == sorted(t for lang, t in allowed if lang == "bb") and "hot copy" in got["bb"]
+    assert len(got["aa"]) == len(set(got["aa"])) == 4 * L.DOCS_PER_LANG and L.learn(docs.repartition(3)) == got
+
+
 def test_edges_and_stage(spark, documents):
     parser = L.learn(documents)
     rows = [(None, "the and of that", "en"), (1, None, None), (2, "", "en"), (3, "?? 12", "en"), (3, "?? 12", "en"), (4, "the thing and that of", None)]

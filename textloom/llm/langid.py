@@ -25,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_crc
@@ -200,26 +200,22 @@ class CrossParser:
 
 
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, chars_per_lang: int = CHARS_PER_LANG) -> CrossParser:
-    """Fits on a bounded sample of labelled rows whose id's crc32 leaves no 1 when divided by 3, by the order of a hash of the text."""
-    rows = docs.where((doc_crc() % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    """Fits on a bounded sample of labelled rows whose id's crc32 leaves no 1 when divided by 3.
+
+    Of each language the ``4 * docs_per_lang`` different texts of smallest hash are candidates, however often each occurs;
+    they are taken in that order until they have ``chars_per_lang`` characters.
+    """
+    rows = docs.where((doc_crc() % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    smallest = rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= 4 * docs_per_lang)
+    last = {r["lang"]: r["last"] for r in smallest.groupBy("lang").agg(F.max("h").alias("last")).collect()}
+    if not last:
         return CrossParser({})
-    grain = 1 << 20
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, min(grain, math.ceil(grain * 4 * docs_per_lang / n))))])
-    picked = (
-        rows.withColumn("h", F.xxhash64("text"))
-        .where(F.pmod("h", F.lit(grain)) < share[F.col("lang")])
-        .select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text"))
-        .distinct()
-        .withColumn("o", F.pmod("h", F.lit(grain)) / share[F.col("lang")])
-        .orderBy("o", "h", "text")
-        .limit(8 * docs_per_lang * len(counts))
-        .collect()
-    )
+    bound = F.create_map(*[F.lit(x) for item in last.items() for x in item])
+    picked = rows.where(F.col("h") <= bound[F.col("lang")]).select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {}
     used: dict[str, int] = {}
-    for r in sorted(picked, key=lambda r: (r["o"], r["h"], r["text"])):
+    for r in sorted(picked, key=lambda r: (r["h"], r["text"])):
         if used.get(r["lang"], 0) < chars_per_lang:
             samples.setdefault(r["lang"], []).append(r["text"])
             used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"])
