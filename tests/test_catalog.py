@@ -45,6 +45,14 @@ def test_plans(spark, sf):
     assert "Python" not in plan(catalog.lang_detect(spark, sf)) and "PushedFilters: [IsNotNull(vec_id), Not(EqualTo(vec_id,0))]" in plan(catalog.similarity_top_k(spark, sf))
 
 
+def test_bags_and_acronyms_of_all_texts(spark, sf):
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    texts = read("documents").count() + read("conversations").count() + read("pages").count()
+    assert catalog.queries()["clean_text_acronyms_all"](spark, sf).select("id").distinct().count() == texts
+    want = {r.doc_id for r in catalog.tokens(spark, sf).where("n > 0").collect()}
+    assert {r.doc_id for r in catalog.queries()["bag_of_words_documents"](spark, sf).select("doc_id").distinct().collect()} == want
+
+
 def test_every_page_is_expanded(spark, sf):
     small = sf.replace("0.001", "0.01")
     ids = [r.page_id for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id").collect()]

@@ -145,10 +145,17 @@ def clean_text(spark, sf):
     return text_ops.with_clean_text(marked, "text", "cleaned").select("id", F.md5("cleaned").alias("digest"), F.length("cleaned").cast("long").alias("n"))
 
 
+ACRONYMS = {"IT": "Information Technology", "HR": "Human Resources", "CI": "Continuous Integration"}
+
+
 def clean_text_acronyms(spark, sf):
     items = _t(spark, sf, "benchmark").withColumn("text", F.concat(F.col("text"), F.lit(" IT and HR, then the CI.")))
-    table = {"IT": "Information Technology", "HR": "Human Resources", "CI": "Continuous Integration"}
-    return text_ops.with_clean_text(items, "text", "cleaned", table).select("item_id", F.md5("cleaned").alias("digest"))
+    return text_ops.with_clean_text(items, "text", "cleaned", ACRONYMS).select("item_id", F.md5("cleaned").alias("digest"))
+
+
+def clean_text_acronyms_all(spark, sf):
+    marked = _all_texts(spark, sf).withColumn("text", F.concat("text", F.lit(" IT and HR, then the CI.")))
+    return text_ops.with_clean_text(marked, "text", "cleaned", ACRONYMS).select("id", F.md5("cleaned").alias("digest"))
 
 
 def tokens(spark, sf):
@@ -165,6 +172,11 @@ def bag_of_words(spark, sf):
     return own.select("item_id", F.col("b._1").alias("word"), F.col("b._2").cast("long").alias("n"))
 
 
+def bag_of_words_documents(spark, sf):
+    own = _t(spark, sf, "documents").select("doc_id", F.explode(text.bag_of_words(text.tokens(F.col("text")))).alias("b"))
+    return own.select("doc_id", F.col("b._1").alias("word"), F.col("b._2").cast("long").alias("n"))
+
+
 def stop_words(spark, sf):
     lists = text.stop_word_map(LANGS)
     own = _t(spark, sf, "documents").select("doc_id", text.remove_stop_words(text.tokens(F.col("text")), F.col("lang"), lists, "en").alias("w"))
@@ -419,7 +431,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES = [
     frame_flatten, frame_expand, frame_sanitize, frame_prefix, frame_rename_original, frame_nested, frame_merge_arrays, frame_merge_by_position, frame_empty_and_limit, frame_id_to_string, csv_roundtrip, parquet_overwrite,
-    es_latest, es_latest_with_ties, key_split, clean_text, clean_text_acronyms, tokens, word_count, bag_of_words, stop_words, acronym_inventory, vocabulary, lang_detect, normalize,
+    es_latest, es_latest_with_ties, key_split, clean_text, clean_text_acronyms, clean_text_acronyms_all, tokens, word_count, bag_of_words, bag_of_words_documents, stop_words, acronym_inventory, vocabulary, lang_detect, normalize,
     embed_docs, similarity_top_k, distances, boosted_score, synonyms, analogy, word_movers, row_aggregates, linear_weights, haversine, min_distance, distance_scores, coordinates,
     url_valid, url_detect, url_redirects, json_infer, schema_ids, stream_append, stream_windows, stream_interval_join, stream_event_sourcing, search,
 ]

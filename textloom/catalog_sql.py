@@ -107,9 +107,11 @@ def statements() -> dict[str, str]:
         "key_split": "SELECT event_id, event_type || '.' || user_id AS entity, event_id::BIGINT AS produced FROM events",
         "clean_text": f"SELECT id, md5(c) AS digest, length(c)::BIGINT AS n FROM (SELECT id, {_clean('x')} AS c FROM (SELECT id, text || {_q(_TAIL)} AS x FROM ({texts})))",
         "clean_text_acronyms": f"SELECT item_id, md5(regexp_replace(regexp_replace(regexp_replace(c, {_q('(^|[ \t\n])CI($|[ \t\n.,])')}, {_q(r'\1Continuous Integration\2')}, 'g'), {_q('(^|[ \t\n])HR($|[ \t\n.,])')}, {_q(r'\1Human Resources\2')}, 'g'), {_q('(^|[ \t\n])IT($|[ \t\n.,])')}, {_q(r'\1Information Technology\2')}, 'g')) AS digest FROM (SELECT item_id, {_clean('x')} AS c FROM (SELECT item_id, text || ' IT and HR, then the CI.' AS x FROM benchmark))",
+        "clean_text_acronyms_all": f"SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(c, {_q('(^|[ \t\n\f\r])CI($|[ \t\n\f\r[:punct:]])')}, {_q(r'\1Continuous Integration\2')}, 'g'), {_q('(^|[ \t\n\f\r])HR($|[ \t\n\f\r[:punct:]])')}, {_q(r'\1Human Resources\2')}, 'g'), {_q('(^|[ \t\n\f\r])IT($|[ \t\n\f\r[:punct:]])')}, {_q(r'\1Information Technology\2')}, 'g')) AS digest FROM (SELECT id, {_clean('x')} AS c FROM (SELECT id, text || ' IT and HR, then the CI.' AS x FROM ({texts})))",
         "tokens": f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
         "word_count": "SELECT doc_id, (CASE WHEN text = '' THEN 1 WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)::BIGINT AS n FROM (SELECT doc_id, text, rtrim(replace(text, chr(10), ' '), ' ') AS x FROM documents)",
         "bag_of_words": f"SELECT item_id, word, count(*)::BIGINT AS n FROM (SELECT item_id, unnest({_tokens('text')}) AS word FROM benchmark) GROUP BY ALL",
+        "bag_of_words_documents": f"SELECT doc_id, word, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({_tokens('text')}) AS word FROM documents) GROUP BY ALL",
         "stop_words": f"SELECT doc_id, len(words)::BIGINT AS n, md5(array_to_string(words, '|')) AS digest FROM ({kept_docs})",
         "acronym_inventory": rf"SELECT acronym, array_to_string(list_sort(list(DISTINCT lang)), ' ||| ') AS languages, md5(array_to_string(list_sort(list(DISTINCT id)), ' ||| ')) AS texts, '' AS expansion FROM (SELECT doc_id::VARCHAR AS id, lang, unnest(list_distinct(list_filter({_tokens('text')}, lambda w: regexp_full_match(w, '\p{{Lu}}+')))) AS acronym FROM documents) GROUP BY acronym",
         "vocabulary": f"SELECT language, count(*) AS n, min(word) AS first, max(word) AS last FROM (SELECT DISTINCT * FROM (SELECT lang AS language, lower(unnest({_tokens('text')})) AS word FROM documents UNION ALL SELECT 'en', lower(unnest({_tokens('text')})) FROM conversations)) GROUP BY language",
