@@ -126,3 +126,45 @@ def test_edges_and_stage(spark, documents):
     kept = L.keep_known_languages(documents)
     assert kept.columns == documents.columns and kept.count() >= 0.99 * documents.count()
     assert L.keep_known_languages(docs.limit(0)).columns == docs.columns
+
+
+def test_interleaved_rows_are_found_again():
+    rng = np.random.default_rng(1)
+    rows = [{int(c): int(rng.integers(400)) for c in rng.choice(5000, rng.integers(0, 40), replace=False)} if i % 3 == 0 else {int(rng.integers(60)): i} for i in range(400)]
+    place, owner, target = L.interleave(rows)
+    assert len(set(place.tolist())) == len(rows)
+    for s, row in enumerate(rows):
+        mine = np.flatnonzero(owner == place[s])
+        assert {int(at - place[s]): int(target[at]) for at in mine} == {c: place[t] for c, t in row.items()}
+
+
+def test_two_hundred_languages_and_large_scripts():
+    """Each language has its own words; two share no letter with the others and have 900 each."""
+    rng = np.random.default_rng(4)
+    alphabet = list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{i:03d}": ["".join(rng.choice(alphabet, n)) for n in rng.integers(3, 9, 150)] for i in range(198)}
+    for name, first in (("x1", 0x4E00), ("x2", 0x5200)):
+        words[name] = ["".join(map(chr, first + rng.integers(0, 900, 2))) for _ in range(400)]
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    parser = L.CrossParser({lang: [say(lang, 250)] for lang in words})
+    assert len(parser.langs) == 200 and parser.owner.nbytes + parser.target.nbytes < 40 * 200 * 2500
+    probes = {lang: say(lang, 40) for lang in words}
+    assert dict(zip(probes, parser.predict(list(probes.values()))[0], strict=True)) == {lang: lang for lang in probes}
+
+
+def test_samples_share_one_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "CrossParser", lambda samples: samples)
+    rows = [(i, f"aba {i} " * 40, f"l{i % 50}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.learn(docs, chars_per_doc=100, chars_in_all=20_000)
+    assert len(got) == 50 and max(sum(map(len, v)) for v in got.values()) < 400 + 100
+    starts = {t[:5] for v in got.values() for t in v}
+    assert any(not t.startswith("aba ") for t in starts)  # stretches, not beginnings
+
+
+def test_stage_keeps_clean_texts_and_clashing_columns(spark, documents):
+    clean = "the thing and that of which we know the river and its old mill in the town"
+    rows = [(1, clean, "en", 7, 8), (2, "xqzvkj wqpzx jjqxv zkqvw pqzzx vvkqj xzqpw kjvqz qxzvw " * 9, "en", 7, 8), (3, None, None, 7, 8), (4, "... 12", "en", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __found int, score int")
+    kept = L.keep_known_languages(docs, L.learn(documents))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[0]]

@@ -6,22 +6,26 @@ logarithm of its reference length, wins. Texts are lower-cased, runs of anything
 separator, and every text is parsed whole, in blocks of ``BLOCK`` characters that each begin a phrase, so that
 all blocks of a batch walk the automata in lockstep.
 
-Every letter of every reference sample keeps a code of its own. A language has columns in the table for its
-``DENSE_COLUMNS`` - 2 most frequent letters; transitions by its other letters are sorted keys, found by binary search.
+Every letter of every reference sample keeps a code of its own, in whatever script. The transitions of all
+automata share one table: a state is a place in it, its transition by a code lies that many entries further and
+names the state it belongs to, and rows are interleaved so that hardly an entry stays empty. That takes some
+20 bytes a character of the samples, whatever the alphabet.
 
-The reference sample is bounded by ``DOCS_PER_LANG``, ``CHARS_PER_DOC`` and ``CHARS_PER_LANG``; that bounds the
-table each worker gets (about 1.5 * chars * columns * 4 bytes a language; some 110 languages fit the table's index).
+The reference sample is bounded by ``DOCS_PER_LANG``, ``CHARS_PER_DOC`` (a stretch of the text, from a place
+that its hash picks), ``CHARS_PER_LANG``, and ``CHARS_IN_ALL``, which the languages share evenly where they are many;
+so what each worker gets stays below some 100 MB for any number of languages.
 
 Defined results: a text that is null, empty or has no letter is ``und`` with score 0, and so is every text when
 nothing was learned; ties go to the language first in alphabetical order; repeated rows are answered alike; a
-row without an id is never learned from and not held out; other columns are ignored.
+row without an id is never learned from and not held out; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import sys
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,10 +36,7 @@ from textloom.llm.common import doc_crc
 
 UNKNOWN = "und"
 BLOCK = 256
-DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG = 64, 1500, 48_000
-DENSE_COLUMNS = 64
-_FAIL = 29
-_STATE = (1 << _FAIL) - 1
+DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, CHARS_IN_ALL = 64, 1500, 48_000, 4_000_000
 _SEGMENT = 1 << 20
 
 
@@ -69,51 +70,91 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return nxt
 
 
+def interleave(rows: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows in one table, and the table: whose entry it is (-1: nobody's), and the place of the row it leads to.
+
+    Rows of several entries go to random places where all of these are free, long rows first; the others, which are
+    most, fill what is left from the beginning. No two rows share a place.
+    """
+    widest = max((max(r) for r in rows if r), default=0) + 2
+    total = sum(map(len, rows))
+    size = total + total // 4 + 2 * widest + len(rows) // 8
+    used, started, place = bytearray(size), bytearray(size), [0] * len(rows)
+    draw = random.Random(7).random
+    for s in sorted((s for s in range(len(rows)) if len(rows[s]) > 1), key=lambda s: -len(rows[s])):
+        codes, tries = list(rows[s]), 0
+        at = int(draw() * (size - widest))
+        while started[at] or any(used[at + c] for c in codes):
+            tries += 1
+            if tries > 1000:  # too full for long rows
+                used, started, size, tries = used + bytes(size), started + bytes(size), 2 * size, 0
+            at = int(draw() * (size - widest))
+        place[s] = at
+        started[at] = 1
+        for c in codes:
+            used[at + c] = 1
+    at = 0
+    for s, row in enumerate(rows):
+        if len(row) == 1:
+            (code,) = row
+            at = used.find(0, max(at, code))
+            while at < 0 or started[at - code]:
+                if at < 0:
+                    at = size - 1
+                    used, started, size = used + bytes(size), started + bytes(size), 2 * size
+                at = used.find(0, at + 1)
+            place[s] = at - code
+            started[at - code] = used[at] = 1
+        elif not row:
+            place[s] = started.index(0)
+            started[place[s]] = 1
+    sources = np.repeat(np.array(place, np.int64), [len(r) for r in rows])
+    entries = sources + np.array([c for r in rows for c in r], np.int64)
+    size = max(max(place), int(entries.max(initial=0))) + 1
+    owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    owner[entries] = sources
+    target[entries] = np.array(place, np.int64)[np.array([t for r in rows for t in r.values()], np.int64)]
+    return np.array(place), owner, target
+
+
+@lru_cache(2)
+def _codes_of(letters: str) -> np.ndarray:
+    """Code of each code point: 0 for what is no letter, the last one for letters that no sample has."""
+    lut = np.array([len(letters) + 1 if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)], np.int32)
+    lut[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    return lut
+
+
 class CrossParser:
-    """The automata of all languages in one table: an entry is the target's offset and, above it, how many phrases ended."""
+    """The automata of all languages in one interleaved table."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(k for k, texts in samples.items() if any(any(c.isalpha() for c in t) for t in texts))
         lowered = {lang: [t.lower() for t in samples[lang]] for lang in self.langs}
-        seen = {lang: Counter(c for t in lowered[lang] for c in t if c.isalpha()) for lang in self.langs}
-        letters = sorted(set().union(*seen.values()))
-        self.width = len(letters) + 2
-        self.lut = np.array([self.width - 1 if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)], np.int32)
-        self.lut[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.column = np.zeros((len(self.langs), self.width), np.int32)  # of a code in the language's part of the table
-        self.restart = np.zeros_like(self.column)  # the step from the root by a letter without a column, or 0
-        tables, keys, targets, self.root, self.bits, at = [], [], [], [], [], 0
-        for k, lang in enumerate(self.langs):
+        self.letters = "".join(sorted({c for own in lowered.values() for t in own for c in t if c.isalpha()}))
+        self.width = len(self.letters) + 2
+        owners, targets, self.root, self.bits, self.alphabet, at = [], [], [], [], [], 0
+        for lang in self.langs:
             codes = np.concatenate([np.append(self._fold(t), 0) for t in lowered[lang]])
-            states = suffix_automaton(codes)
-            dense = sorted(sorted(seen[lang]), key=lambda c: -seen[lang][c])[: DENSE_COLUMNS - 2]
-            columns = len(dense) + 2
-            self.column[k, 1:] = columns - 1
-            self.column[k, self.lut[[ord(c) for c in dense]]] = np.arange(1, len(dense) + 1)
-            place = self.column[k].tolist()
-            grid = np.zeros((len(states), columns), np.int64)
-            for s, row in enumerate(states):
-                for c, to in row.items():
-                    if c == 0 or place[c] < columns - 1:
-                        grid[s, place[c]] = to
-                    else:
-                        keys.append((at + s * columns) * self.width + c)
-                        targets.append(at + to * columns)
-                        if s == 0:
-                            self.restart[k, c] = targets[-1] | 1 << _FAIL
-            failed = grid == 0
-            ended = failed.astype(np.int64)
-            ended[1:] += failed[1:] & failed[0]  # a character that the language lacks is a phrase of its own
-            grid = np.where(failed, grid[0], grid) * columns + at
-            tables.append((grid | ended << _FAIL).ravel())
-            self.root.append(at)
+            place, owner, target = interleave(suffix_automaton(codes))
+            owners.append(np.where(owner >= 0, owner + at, -1))
+            targets.append(target + at)
+            self.root.append(int(place[0]) + at)
             self.bits.append(math.log2(max(2, len(codes))))
-            at += grid.size
-        if at >= 1 << _FAIL:
-            raise ValueError("the reference samples are too large for one table")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+            self.alphabet.append(len(np.unique(codes)))
+            at += len(owner)
+        pad = np.full(self.width, -1, np.int32)  # a step from the last place stays in the table
+        self.owner = np.concatenate([*owners, pad]).astype(np.int32)
+        self.target = np.concatenate([*targets, pad]).astype(np.int32)
+
+    @property
+    def keys(self) -> np.ndarray:
+        """Entries of the table that hold a transition."""
+        return np.flatnonzero(self.owner >= 0)
+
+    @property
+    def lut(self) -> np.ndarray:
+        return _codes_of(self.letters)
 
     def _fold(self, lowered: str) -> np.ndarray:
         points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -135,34 +176,37 @@ class CrossParser:
         flat = np.concatenate([blocks[i] for i in order])
         column = np.repeat(np.arange(len(blocks)), lengths)
         grid[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), column] = flat
-        state = np.repeat(np.array(self.root, np.int32)[:, None], len(blocks), axis=1)
+        roots = np.array(self.root, np.int32)
+        state = np.repeat(roots[:, None], len(blocks), axis=1)
         count = np.zeros_like(state)
         active = np.searchsorted(-lengths, -np.arange(width), "left")  # blocks longer than k
         for k in range(width):
             n = active[k]
-            step = self.table.take(state[:, :n] + self.column.take(grid[k, :n], axis=1))
-            if len(self.keys):
-                self._sparse_steps(step, state[:, :n], grid[k, :n])
-            count[:, :n] += step >> _FAIL
-            state[:, :n] = step & _STATE
-        count += state != np.array(self.root, np.int32)[:, None]
+            now, codes = state[:, :n], grid[k, :n]
+            at = now + codes
+            to = self.target.take(at)
+            lang, block = np.nonzero(self.owner.take(at) != now)
+            if len(lang):  # a phrase ends; a letter that the language lacks is one of its own
+                root = roots[lang]
+                again = root + codes[block]
+                known = self.owner.take(again) == root
+                to[lang, block] = np.where(known, self.target.take(again), root)
+                count[lang, block] += (now[lang, block] != root).astype(np.int32) + ~known
+            state[:, :n] = to
+        count += state != roots[:, None]
         out = np.zeros_like(count)
         out[:, order] = count
         return out
 
-    def _sparse_steps(self, step: np.ndarray, state: np.ndarray, codes: np.ndarray) -> None:
-        """Replaces in ``step`` those by letters that have no column in a language's part of the table."""
-        again = self.restart.take(codes, axis=1)
-        lang, block = np.nonzero(again)
-        if len(lang):
-            key = state[lang, block].astype(np.int64) * self.width + codes[block]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            step[lang, block] = np.where(self.keys[at] == key, self.targets[at], again[lang, block])
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether its language explains it: see ``keep_known_languages``."""
+        langs, scores, explained = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if not self.langs:
-            return langs, scores
+            return langs, scores, explained
+        sizes = np.zeros(len(texts))
         totals = np.zeros((len(self.langs), len(texts)))
         blocks: list[np.ndarray] = []
         owner: list[int] = []
@@ -183,6 +227,7 @@ class CrossParser:
             for at in range(0, len(lowered), _SEGMENT):
                 codes = self._fold(lowered[at : at + _SEGMENT])
                 if codes.any():
+                    sizes[i] += len(codes)
                     for b in range(0, len(codes), BLOCK):
                         blocks.append(codes[b : b + BLOCK])
                         owner.append(i)
@@ -194,16 +239,18 @@ class CrossParser:
         best = cost.argmin(axis=0)
         weight = np.exp2(-np.minimum(cost - cost.min(axis=0), 1000.0))
         share = weight.max(axis=0) / weight.sum(axis=0)
+        plain = sizes * np.log2(np.array(self.alphabet))[best]
+        explained = (sizes > 0) & (cost.min(axis=0) < plain + 2 * np.array(self.bits)[best])
         for i in np.flatnonzero(totals.sum(axis=0) > 0).tolist():
             langs[i], scores[i] = self.langs[best[i]], share[i]
-        return langs, scores
+        return langs, scores, explained
 
 
-def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, chars_per_lang: int = CHARS_PER_LANG) -> CrossParser:
+def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, chars_per_lang: int = CHARS_PER_LANG, chars_in_all: int = CHARS_IN_ALL) -> CrossParser:
     """Fits on a bounded sample of labelled rows whose id's crc32 leaves no 1 when divided by 3.
 
     Of each language the ``4 * docs_per_lang`` different texts of smallest hash are candidates, however often each occurs;
-    they are taken in that order until they have ``chars_per_lang`` characters.
+    they are taken in that order until they have ``chars_per_lang`` characters, or the language's share of ``chars_in_all``.
     """
     rows = docs.where((doc_crc() % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
@@ -211,12 +258,15 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: in
     last = {r["lang"]: r["last"] for r in smallest.groupBy("lang").agg(F.max("h").alias("last")).collect()}
     if not last:
         return CrossParser({})
+    share = min(chars_per_lang, max(1, chars_in_all // len(last)))
     bound = F.create_map(*[F.lit(x) for item in last.items() for x in item])
-    picked = rows.where(F.col("h") <= bound[F.col("lang")]).select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text")).distinct().collect()
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - chars_per_doc, F.lit(0)) + 1) + 1
+    stretch = F.substr("text", begin.cast("int"), F.lit(chars_per_doc))
+    picked = rows.where(F.col("h") <= bound[F.col("lang")]).select("lang", "h", stretch.alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {}
     used: dict[str, int] = {}
     for r in sorted(picked, key=lambda r: (r["h"], r["text"])):
-        if used.get(r["lang"], 0) < chars_per_lang:
+        if used.get(r["lang"], 0) < share:
             samples.setdefault(r["lang"], []).append(r["text"])
             used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"])
     return CrossParser(samples)
@@ -241,11 +291,19 @@ def identify_languages(docs: DataFrame, parser: CrossParser | None = None) -> Da
     return found.select("doc_id", F.coalesce(doc_crc() % 3 == 1, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")
 
 
-def keep_known_languages(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with a score of at least ``min_score``, columns as they are."""
-    found = predictor(docs.sparkSession, learn(docs))("text")
-    names = docs.columns
-    return docs.withColumn("__found", found).where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= min_score)).select(*[F.col(f"`{n}`") for n in names])
+def keep_known_languages(docs: DataFrame, parser: CrossParser | None = None) -> DataFrame:
+    """The documents whose language is recognised, columns as they are.
+
+    Rejected are ``und`` and texts that their best language doesn't explain: whose phrases cost as much as spelling
+    them letter by letter would, and two phrases more. Ties between languages are no reason to reject.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(parser or learn(docs))
+
+    @F.pandas_udf("boolean")
+    def explained(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.measure([x if isinstance(x, str) else None for x in texts])[2])
+
+    return docs.where(explained("text"))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
