@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -85,28 +86,56 @@ def build_session(settings: SessionSettings | None = None) -> SparkSession:
 
 
 _SCRATCH: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
+
+
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder of this application in the one that executors share (``spark.checkpoint.dir``), or a private one where that is unset; a local one goes when the process ends."""
-    import atexit
-    import shutil
+    """A folder of this application in the one that executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local session gets a private folder and any other is an error, since executors on other
+    machines couldn't read what one of them wrote. The folder goes when the session's JVM ends.
+    """
     import tempfile
 
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _SCRATCH[app] = f"{root.rstrip('/')}/textloom-{app}" if root else "file://" + tempfile.mkdtemp(prefix="textloom-")
-        local = _SCRATCH[app].removeprefix("file://")
-        if local.startswith("/"):
-            atexit.register(shutil.rmtree, local, True)
+        target = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH[app])
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
     return _SCRATCH[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     import uuid
 
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Removes at its end what was written to the scratch folder within, but for ``keep``: to put around an action that writes a result elsewhere."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        within = made[before:]
+        made[before:] = [p for p in within if p in keep]
+        for path in within:
+            if path not in keep:
+                delete_scratch(spark, path)
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
@@ -114,3 +143,20 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows times bytes a row, in memory, up to which a table may go to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def join_side(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table as the small side of a join: broadcast where its counted rows are known to fit, shuffled otherwise."""
+    return table.hint("broadcast") if table.count() * row_bytes <= limit else table.hint("shuffle_hash")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
