@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import scratch_path
+from textloom.config import delete_scratch, scratch_path, scratch_scope
 from textloom.llm.langid import keep_known_languages
 from textloom.llm.packing import pack
 from textloom.llm.quality import keep_good
@@ -41,10 +41,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read again by the next.
+
+    What a stage needed besides its result, and the result before it, go as soon as its own result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+        if before:
+            delete_scratch(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
