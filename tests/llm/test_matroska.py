@@ -67,3 +67,39 @@ def test_query_columns(spark):
     assert packets.groupBy("doc_id").sum("size").count() == 6
     assert M.packet_table(spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "doc_id long, media binary")).count() == 0
     assert M.store_and_read(docs.limit(0)).count() == 0
+
+
+def test_damaged_files_give_what_was_read():
+    import random
+
+    rng = random.Random(3)
+    whole = M.write(bytes(range(256)) * 40)
+    full = M.parse(whole).packets
+    for cut in range(4, len(whole), 7):
+        part = M.parse(whole[:cut], strict=False).packets
+        assert all(p[4] + p[5] <= cut for p in part) and part[:-8] == full[: max(0, len(part) - 8)]
+    lace = file(M._element(M.SIMPLE, b"\x81\x00\x00\x02\x02\xff\xff"))
+    for raw in (whole, lace, file(M._element(M.SIMPLE, b"\x81\x00\x00\x06\x03\x81"), True)):
+        for _ in range(400):
+            hurt = bytearray(raw)
+            for _ in range(rng.randrange(1, 4)):
+                hurt[rng.randrange(4, len(hurt))] = rng.randrange(256)
+            M.parse(bytes(hurt), strict=False)
+    assert M.parse(lace, strict=False).error
+    for many in (b"\x18\x53\x80\x67\xff", b"\x1f\x43\xb6\x75\xff", b"\xa0\xff"):  # elements of unknown size in one another
+        assert not M.parse(b"\x1a\x45\xdf\xa3\x80\x18\x53\x80\x67\xff" + many * 2000, strict=False).packets
+    with pytest.raises(ValueError):
+        M.parse(lace)
+
+
+def test_damaged_files_and_many_clusters_in_a_job(spark):
+    long_text = "abcdefgh" * 20_000
+    docs = spark.createDataFrame([(1, long_text), (2, "short")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in M.store_and_read(docs).collect()}
+    assert rows[1].payload_bytes == len(long_text) and rows[1].payload_sha256 == hashlib.sha256(long_text.encode()).hexdigest()
+    assert len(M.parse(M.write(long_text.encode())).clusters) > 4
+    whole = M.write(b"x" * 64)
+    hurt = file(M._element(M.SIMPLE, b"\x81\x00\x00\x80ok") + M._element(M.SIMPLE, b"\x81\x00\x00\x02\x02\xff\xff"))
+    files = spark.createDataFrame([(1, bytearray(whole), 7), (2, bytearray(hurt), 7), (3, bytearray(whole[:4] + b"\x00\x00"), 7), (4, None, 7)], "doc_id long, media binary, error int")
+    got = [(r.doc_id, r.packet, r.size, r.error is not None) for r in M.packet_table(files).orderBy("doc_id").collect()]
+    assert got[0] == (1, 0, 64, False) and got[1][:2] == (2, 0) and got[1][3] and got[-1] == (3, None, None, True)

@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 
 CACHE_PIECES = 600_000
+#: Longer pieces are encoded each time: the cache is bounded in bytes too.
+CACHE_CHARS = 64
 CACHE_STATES = 400_000
 _SEGMENT = 1 << 20
 #: Where characters are all of these, re finds the same pieces as the Unicode pattern does, and faster.
@@ -252,8 +254,12 @@ class ByteBpe:
                 if len(known) + len(new) > CACHE_PIECES:  # the first ones are the frequent ones
                     known = self.known = dict(islice(known.items(), CACHE_PIECES // 2))
                     new = set(pieces).difference(known)
-                for piece in new:
+                long_ones = {p: self._piece(p) for p in new if len(p) > CACHE_CHARS}
+                for piece in new.difference(long_ones):
                     known[piece] = self._piece(piece)
+                if long_ones:
+                    yield b"".join([long_ones[p] if p in long_ones else known[p] for p in pieces])
+                    continue
             yield b"".join(map(known.__getitem__, pieces))
 
     def decode(self, chunks: Iterable[bytes]) -> Iterator[bytes]:

@@ -8,8 +8,10 @@ The writer stores bytes as 8-bit mono PCM: frames of ``FRAME`` samples, up to ``
 fixed-size lacing (EBML lacing where the last is shorter), clusters of ``BLOCKS`` blocks, a cue per cluster.
 
 Defined results: a null text is stored like an empty one, 64 zero bytes; equal texts give equal files; repeated
-rows are answered alike; an element that runs over the end of the file ends with it; bytes that are no EBML file
-raise ``ValueError`` in ``parse`` and give no packets in ``packet_table``; other columns are ignored.
+rows are answered alike; an element that runs over the end of the file ends with it. A damaged file gives what was
+read of it and says why no more (``Media.error``): in ``packet_table`` its packets carry the error, and one that has
+no packets gets one row of nulls with it. Bytes that are no EBML file raise ``ValueError`` in ``parse`` and give no
+rows in ``packet_table``, nor do null media. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,14 +110,24 @@ class Media:
     clusters: list[int] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     segment: int = 0
+    #: Why the rest of a damaged file wasn't read.
+    error: str | None = None
+
+
+class Damaged(ValueError):
+    """Bytes that aren't what a Matroska file has at their place."""
 
 
 def _vint(raw: bytes, at: int) -> tuple[int, int, bool]:
     """Value without its marker, next place, whether all its bits are ones (unknown)."""
+    if at >= len(raw):
+        raise Damaged("the file ends within a number")
     first = raw[at]
     width = 9 - first.bit_length()
     if width > 8:
-        raise ValueError("an element size that is longer than eight bytes")
+        raise Damaged("an element size that is longer than eight bytes")
+    if at + width > len(raw):
+        raise Damaged("the file ends within a number")
     value = int.from_bytes(raw[at : at + width], "big") & (1 << 7 * width) - 1
     return value, at + width, value == (1 << 7 * width) - 1
 
@@ -126,7 +138,7 @@ def elements(raw: bytes, at: int, stop: int) -> Iterator[tuple[int, int, int, in
         first = raw[at]
         width = 9 - first.bit_length()
         if width > 4:
-            raise ValueError("no element where one should begin")
+            raise Damaged("no element where one should begin")
         ident = int.from_bytes(raw[at : at + width], "big")
         if at + width >= stop:
             return
@@ -147,10 +159,14 @@ def _end_of_unknown(raw: bytes, ident: int, at: int, stop: int) -> int:
 
 
 def _uint(raw: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise Damaged("a number of more than eight bytes")
     return int.from_bytes(raw[at:end], "big")
 
 
 def _float(raw: bytes, at: int, end: int) -> float:
+    if end - at not in (0, 4, 8):
+        raise Damaged("a float of another size than four or eight bytes")
     return struct.unpack(">f" if end - at == 4 else ">d", raw[at:end])[0] if end > at else 0.0
 
 
@@ -158,6 +174,8 @@ def lace(raw: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     """Byte ranges of the frames in a block's body: 0 no lacing, 1 Xiph, 2 fixed size, 3 EBML."""
     if kind == 0:
         return [(at, end - at)]
+    if at >= end:
+        raise Damaged("a block that ends before its lacing")
     count = raw[at] + 1
     at += 1
     if kind == 2:
@@ -167,8 +185,10 @@ def lace(raw: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     for i in range(count - 1):
         if kind == 1:
             total = 0
-            while raw[at] == 255:
+            while at < end and raw[at] == 255:
                 total, at = total + 255, at + 1
+            if at >= end:
+                raise Damaged("lacing that ends within a size")
             sizes.append(total + raw[at])
             at += 1
         elif i == 0:
@@ -182,20 +202,34 @@ def lace(raw: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     out = []
     for size in sizes:
         if size < 0 or at + size > end:
-            raise ValueError("laced frames that don't fit their block")
+            raise Damaged("laced frames that don't fit their block")
         out.append((at, size))
         at += size
     return out
 
 
-def parse(raw: bytes) -> Media:
-    """Packet table and tables of tracks, clusters and cues of a file."""
-    if raw[:4] != b"\x1a\x45\xdf\xa3":
-        raise ValueError("no EBML header")
+def parse(raw: bytes, strict: bool = True) -> Media:
+    """Packet table and tables of tracks, clusters and cues of a file; without ``strict``, damage ends it with an error instead of an exception."""
     media = Media()
+    try:
+        _walk(raw, media)
+    except RecursionError:
+        media.error = "elements without a size in one another, too deep"
+    except Damaged as damage:
+        media.error = str(damage)
+    if strict and media.error:
+        raise Damaged(media.error)
+    return media
+
+
+def _walk(raw: bytes, media: Media) -> None:
+    if raw[:4] != b"\x1a\x45\xdf\xa3":
+        raise Damaged("no EBML header")
 
     def block(body: int, end: int, cluster_time: int, key: bool | None, duration: int | None) -> None:
         track, at, _ = _vint(raw, body)
+        if at + 3 > end:
+            raise Damaged("a block that ends within its head")
         relative = struct.unpack_from(">h", raw, at)[0]
         flags = raw[at + 2]
         kind = flags >> 1 & 3
@@ -204,6 +238,8 @@ def parse(raw: bytes) -> Media:
         if duration is not None:
             each = duration * media.scale // len(frames)
         start = (cluster_time + relative) * media.scale
+        if not -(1 << 62) < start < 1 << 62 or not 0 <= each * len(frames) < 1 << 62:
+            raise Damaged("a time that is no 64-bit number")
         is_key = bool(flags & 0x80) if key is None else key
         for i, (offset, size) in enumerate(frames):
             media.packets.append((track, start + i * each, each, is_key, offset, size, kind))
@@ -274,10 +310,9 @@ def parse(raw: bytes) -> Media:
                         if c == CUE_TIME:
                             time = _uint(raw, p, q)
                         elif c == CUE_PLACES:
-                            place = {k: _uint(raw, s, e) for k, _, s, e, _ in elements(raw, p, q)}
+                            place = {k: _uint(raw, s, e) for k, _, s, e, _ in elements(raw, p, q) if k in (CUE_TRACK, CUE_CLUSTER)}
                             places.append((place.get(CUE_TRACK, 0), place.get(CUE_CLUSTER, 0)))
                     media.cues += [(time * media.scale, t, media.segment + at) for t, at in places]
-    return media
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -329,19 +364,24 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(files: DataFrame) -> DataFrame:
-    """Of (doc_id, media) a row per packet: track, timestamp, duration, key flag, byte range and lacing."""
-    schema = "doc_id long, packet int, track int, timestamp_ns long, duration_ns long, key boolean, offset long, size long, lacing int"
+    """Of (doc_id, media) a row per packet: track, timestamp, duration, key flag, byte range and lacing, and the file's error where it is damaged."""
+    schema = "doc_id long, packet int, track long, timestamp_ns long, duration_ns long, key boolean, offset long, size long, lacing int, error string"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    names = ["doc_id", "packet", "track", "timestamp_ns", "duration_ns", "key", "offset", "size", "lacing", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc, file in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
                 raw = file.as_py()
-                if raw and raw[:4] == b"\x1a\x45\xdf\xa3":
-                    rows += [(doc, i, *p) for i, p in enumerate(parse(raw).packets)]
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "packet", "track", "timestamp_ns", "duration_ns", "key", "offset", "size", "lacing"])
+                if raw is None or raw[:4] != _HEAD[:4]:
+                    continue
+                media = parse(raw, strict=False)
+                rows += [(doc, i, *p, media.error) for i, p in enumerate(media.packets)]
+                if media.error and not media.packets:
+                    rows.append((doc, *[None] * 8, media.error))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return files.select("doc_id", "media").mapInArrow(run, schema)
 

@@ -34,6 +34,8 @@ from textloom.llm.common import staged
 
 CAPACITY = 2048
 CACHE_WORDS = 600_000
+#: Longer words are encoded each time: the cache is bounded in bytes too.
+CACHE_CHARS = 64
 _SEGMENT = 1 << 20
 #: Characters for which the tokenizer's normaliser only lower-cases, as str.lower does.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\\Z")
@@ -59,9 +61,9 @@ class WordEncoder:
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: Iterable[str], known: dict[str, bytes]) -> None:
         """Plain words go to the model as they are; every other step of the tokenizer would leave them alone."""
-        known, tokenize, spelled = self.known, self.model.tokenize, self.spelled
+        tokenize, spelled = self.model.tokenize, self.spelled
         for word in words:
             known[word] = array("I", [t.id for t in tokenize(word if word.isascii() else word.translate(spelled))]).tobytes()
 
@@ -86,7 +88,13 @@ class WordEncoder:
             new = set(words).difference(self.known)
             if new:
                 self._room(len(new))
-                self._learn(set(words).difference(self.known))
+                new = set(words).difference(self.known)
+                long_ones: dict[str, bytes] = {}
+                self._learn([w for w in new if len(w) > CACHE_CHARS], long_ones)
+                self._learn(new.difference(long_ones), self.known)
+                if long_ones:
+                    out += [long_ones[w] if w in long_ones else self.known[w] for w in words]
+                    continue
             out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 

@@ -11,7 +11,8 @@ sampled. Only the sums (one small row a task) reach the driver.
 
 Defined results: a null or empty text has the statistics of an empty text; rows with a null id or label don't
 teach; a label repeated for a document counts as often as it is there; with fewer than two classes every score
-is the learned prior (0.5 when nothing was learned); repeated rows are scored alike; other columns are ignored.
+is the learned prior (0.5 when nothing was learned); repeated rows are scored alike; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_crc, staged
+from textloom.llm.common import doc_crc, free_name, staged
 
 THRESHOLD = 0.3
 TEMPER = 0.3
@@ -157,17 +158,15 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least ``threshold``, columns as they are."""
-    spark, names = docs.sparkSession, docs.columns
-    # the statistics of all documents, not the texts of the labelled ones, meet the labels: texts are never shuffled
-    measured = staged(docs.select("doc_id", statistics_column()("text").alias("x")), "statistics")
-    model = spark.sparkContext.broadcast(learn(measured, labels))
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(statistics([x if isinstance(x, str) else None for x in texts])))
-
-    return docs.withColumn("__score", score("text")).where(F.col("__score") >= threshold).select(*[F.col(f"`{n}`") for n in names])
+    """The documents that score at least ``threshold``, columns as they are.
+
+    Documents are written once with their statistics, which then teach and are scored: every text is measured once,
+    and only (id, statistics) of the documents meet the labels, so that texts are never shuffled.
+    """
+    own = free_name(docs, "statistics")
+    measured = staged(docs.withColumn(own, statistics_column()("text")), "measured")
+    model = learn(measured.select("doc_id", F.col(own).alias("x")), labels)
+    return measured.where(scorer(docs.sparkSession, model)(own) >= threshold).drop(own)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ and a spanning forest is emitted, never the pairs.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other; repeated rows are
 separate documents; rows without an id count as documents but never name a component unless all its rows lack
-one (then null); an empty table gives an empty result; other columns are ignored.
+one (then null); an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import staged
+from textloom.llm.common import free_name, join_side, staged, without
 
 THRESHOLD = 3
 #: Rows a side of one comparison block; two of them make about 10^9 comparisons at most.
@@ -268,7 +268,7 @@ def link_table(groups: DataFrame, block: int = BLOCK) -> DataFrame:
     replicas = groups.select("fp", "n").mapInArrow(_replicate, "anchor long, fp long, n long, home boolean")
     hot = replicas.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all_rows")).where(f"homes > 0 and all_rows > {block}")
     hot = hot.select("anchor", F.ceil(F.col("homes") / block).cast("int").alias("si"), F.ceil(F.col("all_rows") / block).cast("int").alias("sj"))
-    hot = staged(hot, "hot")  # its size is known to the join
+    hot = join_side(staged(hot, "hot"), 64)
     grid = replicas.join(hot, "anchor", "left").withColumn("si", F.coalesce("si", F.lit(1))).withColumn("sj", F.coalesce("sj", F.lit(1)))
     pick = F.xxhash64("fp")
     compared = grid.withColumn("j", F.pmod(pick, F.col("sj")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("si") - 1))).withColumn("query", F.lit(False))
@@ -290,9 +290,9 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("shuffle_hash"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least.hint("shuffle_hash"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = staged(small, "edges")
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -320,9 +320,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("root", F.coalesce("root", "fp"))
     )
     linked = per_fp.where("links > 0").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = per_fp.join(linked, "root", "left").select("fp", "copies", (F.col("links") + F.col("copies") - 1).alias("n_near"), "root", F.coalesce("component_id", "first_id").alias("component_id"))
+    classes = per_fp.join(linked.hint("shuffle_hash"), "root", "left").select("fp", "copies", (F.col("links") + F.col("copies") - 1).alias("n_near"), "root", F.coalesce("component_id", "first_id").alias("component_id"))
     classes = staged(classes, "classes")
-    return own.join(classes, "fp").select("doc_id", "fp", "n_near", "component_id"), classes
+    return own.join(classes.hint("merge"), "fp").select("doc_id", "fp", "n_near", "component_id"), classes
 
 
 def keep_one_per_group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -335,17 +335,18 @@ def keep_one_per_group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     marked = staged(marked, "marked")
     per_id = marked.groupBy("doc_id").agg(F.count("*").alias("c"), F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("other"))
     odd = staged(per_id.where("c > 1 or doc_id is null").select("doc_id"), "odd")
-    gone = staged(per_id.where("c = 1 and other = 1 and doc_id is not null").select(F.col("doc_id").alias("__gone")), "gone")
+    gone = staged(per_id.where("c = 1 and other = 1 and doc_id is not null").select("doc_id"), "gone")
     if odd.isEmpty():
-        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    names = docs.columns
-    odd = odd.select(F.col("doc_id").alias("__odd"))
-    regular = docs.join(odd, docs["doc_id"].eqNullSafe(odd["__odd"]), "left_anti")
-    regular = regular.join(gone, F.col("doc_id") == gone["__gone"], "left_anti")
-    held = docs.join(odd, docs["doc_id"].eqNullSafe(odd["__odd"]), "left_semi").withColumn("__fp", fingerprint_column("text"))
-    tagged = held.join(classes.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component")), "__fp")
-    tagged = tagged.where(F.col("__component").isNull() | (F.col("doc_id") == F.col("__component")))
-    return regular.unionByName(tagged.dropDuplicates(["__root"]).select(names))
+        return without(docs, ["doc_id"], gone, marked)
+    regular = without(docs, ["doc_id"], staged(odd.unionByName(gone), "apart"), marked.select("doc_id").distinct())
+    odd = join_side(odd, 48)
+    held = docs.join(odd, docs["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi")
+    fp = free_name(held, "fp")
+    held = held.withColumn(fp, fingerprint_column("text"))
+    root, component = free_name(held, "root"), free_name(held, "component")
+    tagged = held.join(classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)), fp)
+    tagged = tagged.where(F.col(component).isNull() | (F.col("doc_id") == F.col(component)))
+    return regular.unionByName(tagged.dropDuplicates([root]).select(docs.columns))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

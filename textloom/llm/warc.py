@@ -3,13 +3,18 @@
 Reading plans one partition per file, or one per stretch of records where a file is large and its writer left an
 index beside it. Headers are parsed first; a record whose type or headers don't satisfy the pushed predicates,
 or any record when payloads aren't asked for, is passed over by its length without reading or decoding its
-block (a compressed member has to be inflated to find its end, but nothing of it is kept). Predicates come from
+block (a compressed member has to be inflated to find its end, but nothing of it is kept). Records of a compressed
+archive are members of their own, so an indexed one is split like a plain one. Predicates come from
 the query: =, IN, IS [NOT] NULL and LIKE 'x%' on the header columns; ``read_archive`` turns on the session's
 ``spark.sql.python.filterPushdown.enabled``, without which Spark refuses such a reader.
 
 Writing makes one file a task under a name of its own and moves the files in place at commit, so that lost or
 repeated tasks leave nothing behind.
 
+A block of ``application/http`` is its head, an empty line and the payload; one without an empty line is all payload.
+The option ``decode`` undoes chunked transfer and gzip or deflate content codings as the head names them; a payload
+that isn't so coded after all stays as it is.
+
 Defined results of ``archive``: null payloads are empty; a page without an id, or all of whose equals lack one,
 is a response; rows that repeat the smallest id are all responses; rows without a URL have no target header;
 an empty table makes an empty archive; other columns are ignored.
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from textloom.llm.common import scratch_path, staged
+from textloom.llm.common import scratch_path, staged, without
 
 MIN_SHARED = 100
 SPLIT = 64 << 20
@@ -102,11 +107,11 @@ class _Source:
     def __init__(self, path: str, begin: int):
         system, at = _open(path)
         self.file = system.open_input_file(at)
-        self.size = self.file.size()
         self.at = begin
         self.buffer = b""
         self.zip = path.endswith(".gz")
         self.inflate = None
+        self.member = begin
 
     def _more(self, least: int = 1 << 16) -> bool:
         if not self.zip:
@@ -115,6 +120,7 @@ class _Source:
             self.buffer += new
             return bool(new)
         raw = self.inflate.unused_data if self.inflate and self.inflate.eof else b""
+        begins = self.at - len(raw)
         if not raw:
             self.file.seek(self.at)
             raw = self.file.read(1 << 18)
@@ -122,10 +128,18 @@ class _Source:
         if not raw:
             return False
         if self.inflate is None or self.inflate.eof:
-            self.inflate = zlib.decompressobj(31)
+            self.inflate, self.member = zlib.decompressobj(31), begins
         self.buffer += self.inflate.decompress(raw)
         return True
 
+    def place(self) -> int:
+        """Where the next record begins: in a compressed file, its member."""
+        if not self.zip:
+            return self.at
+        if self.inflate and self.inflate.eof and not self.buffer:
+            return self.at - len(self.inflate.unused_data)
+        return self.member
+
     def head(self) -> bytes | None:
         while True:
             stop = self.buffer.find(b"\r\n\r\n")
@@ -154,6 +168,8 @@ class _Source:
             if not self._more():
                 raise ValueError("an archive ends within a record")
         self._drop(n)
+        if not self.buffer and not self.inflate.eof:  # the member's check sums may be still to come
+            self._more()
 
     def block(self, n: int) -> bytes:
         while len(self.buffer) < n:
@@ -164,11 +180,48 @@ class _Source:
         return found
 
 
-def read_stretch(part: Stretch, wanted: Wanted, payloads: bool) -> Iterator[pa.RecordBatch]:
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        if end + 2 + size > len(body):
+            raise ValueError("a chunk that runs over the end")
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def http_payload(block: bytes, decode: bool = False) -> bytes:
+    """What follows the head of an HTTP message; without a head's end, everything."""
+    stop = block.find(b"\r\n\r\n")
+    if stop < 0:
+        return block
+    body = block[stop + 4 :]
+    if not decode:
+        return body
+    head = {k.strip().lower(): v.strip().lower() for k, _, v in (line.partition(b":") for line in block[:stop].split(b"\r\n")[1:])}
+    try:
+        if b"chunked" in head.get(b"transfer-encoding", b""):
+            body = _dechunked(body)
+        coding = head.get(b"content-encoding", b"")
+        if coding in (b"gzip", b"x-gzip", b"deflate"):
+            for bits in (31,) if b"gzip" in coding else (15, -15):
+                try:
+                    return zlib.decompress(body, bits)
+                except zlib.error:
+                    continue
+    except ValueError:
+        pass
+    return body
+
+
+def read_stretch(part: Stretch, wanted: Wanted, payloads: bool, decode: bool = False) -> Iterator[pa.RecordBatch]:
     source = _Source(part.path, part.begin)
     rows: list[tuple] = []
     held = 0
-    while part.end is None or source.zip or source.at < part.end:
+    while part.end is None or source.place() < part.end:
         head = source.head()
         if head is None:
             break
@@ -185,7 +238,7 @@ def read_stretch(part: Stretch, wanted: Wanted, payloads: bool) -> Iterator[pa.R
             payload = source.block(length)
             source.skip(4)
             if headers.get("content-type", "").startswith("application/http"):
-                payload = payload[payload.find(b"\r\n\r\n") + 4 :]
+                payload = http_payload(payload, decode)
             held += len(payload)
         else:
             source.skip(length + 4)
@@ -201,6 +254,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payloads = options.get("payloads", "true").lower() == "true"
+        self.decode = options.get("decode", "false").lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT)))
         self.wanted = Wanted()
 
@@ -228,12 +282,16 @@ class WarcReader(DataSourceReader):
         files = [info] if info.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(root, recursive=True))
         prefix = self.path[: -len(root)] if self.path.endswith(root) else ""
         files = sorted((f for f in files if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz")) and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
-        indexed = {f.path for f in system.get_file_info(pafs.FileSelector(root, recursive=True))} if info.type != pafs.FileType.File else set()
+        if info.type == pafs.FileType.File:
+            around = system.get_file_info([root + ".idx"])
+        else:
+            around = system.get_file_info(pafs.FileSelector(root, recursive=True))
+        indexed = {f.path for f in around if f.type == pafs.FileType.File}
         parts = []
         for f in files:
             cuts = [0]
-            if f.size > self.split and f.path.endswith(".warc") and f.path + ".idx" in indexed:
-                with system.open_input_stream(f.path + ".idx") as marks:
+            if f.size > self.split and f.path + ".idx" in indexed:
+                with system.open_input_stream(f.path + ".idx", compression=None) as marks:
                     for mark in json.loads(marks.read()):
                         if mark - cuts[-1] >= self.split:
                             cuts.append(mark)
@@ -242,7 +300,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         if partition.path:
-            yield from read_stretch(partition, self.wanted, self.payloads)
+            yield from read_stretch(partition, self.wanted, self.payloads, self.decode)
 
 
 @dataclass
@@ -263,7 +321,7 @@ class WarcWriter(DataSourceArrowWriter):
         marks, at, last, out = [], 0, 0, None
         for batch in iterator:
             if out is None and batch.num_rows:
-                out = system.open_output_stream(f"{root}/.{name}")
+                out = system.open_output_stream(f"{root}/.{name}", compression=None)  # the members are compressed already
             for row in batch.to_pylist():
                 raw = record(
                     {
@@ -284,7 +342,7 @@ class WarcWriter(DataSourceArrowWriter):
         if out is None:
             return Written([])
         out.close()
-        with system.open_output_stream(f"{root}/.{name}.idx") as index:
+        with system.open_output_stream(f"{root}/.{name}.idx", compression=None) as index:
             index.write(json.dumps(marks).encode())
         return Written([(f"{root}/.{name}", f"{root}/{name}"), (f"{root}/.{name}.idx", f"{root}/{name}.idx")])
 
@@ -317,41 +375,47 @@ class WarcSource(DataSource):
         return WarcWriter(dict(self.options))
 
 
-def read_archive(spark: SparkSession, path: str, record_types: tuple[str, ...] = (), payloads: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, record_types: tuple[str, ...] = (), payloads: bool = True, decode: bool = False) -> DataFrame:
     """The records of an archive; types not asked for are passed over at their headers."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader with predicates can't be planned otherwise
-    found = spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
+    found = spark.read.format("warc").option("payloads", str(payloads).lower()).option("decode", str(decode).lower()).load(path)
     return found.where(F.col("record_type").isin(*record_types)) if record_types else found
 
 
-def archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_shared: int = MIN_SHARED) -> None:
-    """Writes (page_id, url, html): of equal payloads of at least ``min_shared`` bytes the smallest id is the response, the others revisit it."""
+def archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_shared: int = MIN_SHARED, compression: str = "none", **split: int) -> None:
+    """Writes (page_id, url, html): of equal payloads of at least ``min_shared`` bytes the smallest id is the response, the others revisit it.
+
+    Ids, URLs and digests alone are shuffled to find the equal payloads, and revisit records come from these. Payloads
+    go straight to the writer from where they are read, but for the few that two Bloom filters of bounded size can't
+    tell (see ``common.without``).
+    """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     marked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    # only ids and digests are shuffled to find the equal payloads; revisits are few or many, so their size decides the join
-    small = staged(marked.where((F.octet_length("payload") >= min_shared) & F.col("page_id").isNotNull()).select("digest", "page_id").distinct(), "digests")
-    firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    revisits = staged(small.join(firsts, "digest").where("page_id <> first").select("digest", "page_id", "first"), "revisits")
+    long_ones = staged(marked.where((F.octet_length("payload") >= min_shared) & F.col("page_id").isNotNull()).select("digest", "page_id", "url"), "digests")
+    firsts = long_ones.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("last <> first").drop("last")
+    revisits = staged(long_ones.join(firsts.hint("shuffle_hash"), "digest").where("page_id <> first"), "revisits")
+    chosen = staged(revisits.select("digest", "page_id").distinct(), "revisit-keys")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    (
-        marked.join(revisits, ["digest", "page_id"], "left")
-        .select(
+
+    def records(rows: DataFrame, kind: str) -> DataFrame:
+        again = kind == "revisit"
+        return rows.select(
             urn(F.col("page_id")).alias("record_id"),
-            F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
+            F.lit(kind).alias("record_type"),
             F.col("url").alias("target_uri"),
             F.lit(date).alias("warc_date"),
-            F.when(F.col("first").isNotNull(), urn(F.col("first"))).alias("refers_to"),
+            (urn(F.col("first")) if again else F.lit(None).cast("string")).alias("refers_to"),
             F.concat(F.lit("sha256:"), F.col("digest")).alias("payload_digest"),
             F.lit(0).cast("long").alias("content_length"),
-            F.when(F.col("first").isNull(), F.col("payload")).alias("payload"),
+            (F.lit(None).cast("binary") if again else F.col("payload")).alias("payload"),
         )
-        .write.format("warc")
-        .mode("append")
-        .save(path)
-    )
+
+    responses = marked if chosen.isEmpty() else without(marked, ["digest", "page_id"], chosen, long_ones, **split)
+    everything = records(responses, "response").unionByName(records(revisits, "revisit"))
+    everything.write.format("warc").option("compression", compression).mode("append").save(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
