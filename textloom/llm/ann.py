@@ -8,8 +8,9 @@ that the index was tuned to, and what lies in them is reranked by the true produ
 The codebooks and the share are fitted on at most ``SAMPLE`` rows (the first by a hash of the id); the share is
 the one within which ``RECALL`` of the sample's true neighbours lie, which errs to the safe side since the
 neighbours among all rows are nearer than those within a sample. Every row is indexed. Cells are cut into
-blocks of about ``ROWS`` rows; a query goes once to each block that holds one of its cells, a task holds one
-block and streams the queries past it.
+blocks of about ``ROWS`` rows; a query goes once to each block that holds one of its cells, with the cells it has
+there; a task holds one block and streams the queries past it. The codebooks grow with the fourth root of the rows
+up to ``MAX_CENTROIDS`` a half, so that the driver sees a million cell sizes at most; larger cells are cut, not lost.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part, nor do rows without an id; rows that share an id count once (the smallest vector);
@@ -24,13 +25,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged
+from textloom.llm.common import join_side, staged, without
 
-SAMPLE, RECALL, ROWS, QUERIES_A_BLOCK = 16384, 0.95, 8192, 65536
+SAMPLE, RECALL, ROWS, QUERIES_A_BLOCK, MAX_CENTROIDS = 16384, 0.95, 8192, 65536, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -125,33 +127,40 @@ def _index(shared):
 
 
 def _route(shared, blocks):
-    """Queries to the blocks of their cells; the cells travel as a bitmap."""
+    """Queries to the blocks of their cells, each with the cells it has there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_cell = blocks.value
+        first, pieces = blocks.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            rows, targets, maps = [], [], []
+            rows, targets, cells, cuts, at = [], [], [], [np.zeros(1, np.int64)], 0
             for i, found in enumerate(shared.value.walk(x)):
-                bits = np.zeros(shared.value.n_cells, bool)
-                bits[found] = True
-                bitmap = np.packbits(bits).tobytes()
-                for block in sorted({b for c in found for b in of_cell[c]}):
-                    rows.append(i)
-                    targets.append(block)
-                    maps.append(bitmap)
-            yield pa.RecordBatch.from_arrays([pa.array(targets, pa.int64()), batch.column("vec_id").take(pa.array(rows, pa.int64())), batch.column("v").take(pa.array(rows, pa.int64())), pa.array(maps, pa.binary())], ["block", "vec_id", "v", "cells"])
+                own = np.array(found, np.int64)
+                times = pieces[own]
+                cell = np.repeat(own, times)
+                block = first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.argsort(block, kind="stable")
+                cell, block = cell[order].astype(np.int32), block[order]
+                begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+                rows.append(np.full(len(begins), i))
+                targets.append(block[begins])
+                cells.append(cell)
+                cuts.append(at + np.append(begins[1:], len(cell)) if len(begins) else begins)
+                at += len(cell)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), pa.array(np.concatenate(cells)))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(targets)), batch.column("vec_id").take(take), batch.column("v").take(take), lists], ["block", "vec_id", "v", "cells"])
 
     return run
 
 
-def _best(queries: np.ndarray, own: np.ndarray, bitmaps: np.ndarray, x: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query the k best rows of its cells, by the exact product, smaller ids first."""
-    use = np.flatnonzero(bitmaps.any(axis=0)[cells])
+def _best(queries: np.ndarray, own: np.ndarray, asked: np.ndarray, x: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query the k best rows of the cells it asks for, by the exact product, smaller ids first."""
+    use = np.flatnonzero(asked.any(axis=0)[cells])
     rough = queries @ x[use].T
-    rough[~bitmaps[:, cells[use]]] = -np.inf
+    rough[~asked[:, cells[use]]] = -np.inf
     rough[own[:, None] == ids[use][None, :]] = -np.inf
     for i in range(len(queries)):
         row = rough[i]
@@ -166,12 +175,13 @@ def _best(queries: np.ndarray, own: np.ndarray, bitmaps: np.ndarray, x: np.ndarr
             yield i, ids[at][pick], score[pick]
 
 
-def _search(k: int, n_cells: int):
+def _search(k: int):
     """Blocks, each its rows first and then its queries, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         parts: list[tuple] = []
+        here: tuple | None = None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -183,19 +193,26 @@ def _search(k: int, n_cells: int):
             cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])])).tolist() + [n]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if now != (block[a],):
-                    now, parts = (block[a],), []
+                    now, parts, here = (block[a],), [], None
                 if not asks[a]:
                     parts.append((x[a:b], ids[a:b], cell[a:b]))
                     continue
-                if not parts:
+                if not parts and here is None:
                     continue
-                if len(parts) > 1:
-                    parts = [tuple(np.concatenate(p) for p in zip(*parts, strict=True))]
-                maps = np.stack([np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=n_cells) for m in batch.column("cells")[a:b]]).astype(bool)
+                if here is None:
+                    rows, row_ids, row_cells = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    there, place = np.unique(row_cells, return_inverse=True)
+                    here, parts = (rows, row_ids, place), []
+                lists = batch.column("cells")[a:b]
+                wanted, owner = lists.flatten().to_numpy(), np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                at = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
+                held = there[at] == wanted  # a piece of a cell may hold none of its rows
+                asked = np.zeros((b - a, len(there)), bool)
+                asked[owner[held], at[held]] = True
                 out: list[list] = [[], [], []]
                 for s in range(a, b, 512):
                     e = min(b, s + 512)
-                    for i, near, score in _best(x[s:e], ids[s:e], maps[s - a : e - a], *parts[0], k):
+                    for i, near, score in _best(x[s:e], ids[s:e], asked[s - a : e - a], *here, k):
                         out[0] += [int(ids[s + i])] * len(near)
                         out[1] += near.tolist()
                         out[2] += score.tolist()
@@ -212,9 +229,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     def usable(df: DataFrame) -> DataFrame:
         wide = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
         bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-        return wide.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda e: e != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+        return wide.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda e: e != 0))
 
-    base = staged(usable(vectors), "vectors")
+    def distinct(df: DataFrame) -> DataFrame:
+        # ids alone are shuffled to find the repeated ones, and vectors only of these
+        again = staged(df.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated")
+        if again.isEmpty():
+            return df
+        twice = df.join(join_side(again, 48), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+        return without(df, ["vec_id"], again, staged(df.select("vec_id"), "ids")).unionByName(twice)
+
+    base = distinct(staged(usable(vectors), "vectors"))
     shapes = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)).alias("top")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not shapes:
         return spark.createDataFrame([], schema)
@@ -224,40 +249,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     grain, order = 1 << 30, F.xxhash64("vec_id")
     low = F.pmod(order, F.lit(grain)) < min(grain, math.ceil(grain * 2 * sample / count))
     some = np.array([r["v"] for r in base.where(low).orderBy(F.pmod(order, F.lit(grain)), order).limit(sample).collect()])
-    k_book = centroids or min(256, max(4, math.ceil(2 * count**0.25)))
+    k_book = centroids or min(MAX_CENTROIDS, max(4, math.ceil(2 * count**0.25)))
     index = MultiIndex(some, top, k_book)
     index.tune(some, k, recall)
 
     first = spark.sparkContext.broadcast(index)
     entries = staged(base.mapInArrow(_index(first), "vec_id long, v array<double>, cell long"), "entries")
     sizes = np.zeros(index.n_cells, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # as many rows as cells, at most 65,536
+    for r in entries.groupBy("cell").count().collect():  # as many rows as cells, a million at most
         sizes[r["cell"]] = r["count"]
     index.sizes = sizes
     # small cells share a block, a large one gets several
-    of_cell: list[list[int]] = [[] for _ in range(index.n_cells)]
+    first_block, pieces = np.zeros(index.n_cells, np.int64), np.maximum(1, -(-sizes // rows))
     block, held = 0, 0
-    for c in range(index.n_cells):
-        need = int(sizes[c])
+    for c, need in enumerate(sizes.tolist()):
         if held and held + need > rows:
             block, held = block + 1, 0
-        pieces = max(1, -(-need // rows))
-        of_cell[c] = list(range(block, block + pieces))
-        if pieces > 1:
-            block, held = block + pieces, 0
+        first_block[c] = block
+        if pieces[c] > 1:
+            block, held = block + int(pieces[c]), 0
         else:
             held += need
-    tuned, blocks = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(of_cell)
+    tuned, blocks = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((first_block, pieces))
 
-    asked = usable(queries).where(F.size("v") == dim)
-    asked = staged(asked.mapInArrow(_route(tuned, blocks), "block long, vec_id long, v array<double>, cells binary"), "queries")
+    asked = distinct(staged(usable(queries).where(F.size("v") == dim), "asked"))
+    asked = staged(asked.mapInArrow(_route(tuned, blocks), "block long, vec_id long, v array<double>, cells array<int>"), "queries")
     loads = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).cast("int").alias("salts"))
-    firsts = spark.createDataFrame([(c, b[0], len(b)) for c, b in enumerate(of_cell) if sizes[c]], "cell long, first long, pieces int")
+    used = np.flatnonzero(sizes)
+    firsts = spark.createDataFrame(pd.DataFrame({"cell": used, "first": first_block[used], "pieces": pieces[used]}), "cell long, first long, pieces int")
     placed = entries.join(F.broadcast(firsts), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces")))
+    loads = join_side(staged(loads, "loads"), 48)  # as many rows as blocks
     placed = placed.join(loads, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    left = placed.select("block", F.col("salt").cast("long").alias("salt"), F.lit(False).alias("asks"), "vec_id", "cell", "v", F.lit(None).cast("binary").alias("cells"))
+    none = F.lit(None).cast("array<int>")
+    left = placed.select("block", F.col("salt").cast("long").alias("salt"), F.lit(False).alias("asks"), "vec_id", "cell", "v", none.alias("cells"))
     right = asked.join(loads, "block").select("block", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("long").alias("salt"), F.lit(True).alias("asks"), "vec_id", F.lit(-1).cast("long").alias("cell"), "v", "cells")
-    found = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(_search(k, index.n_cells), "query_id long, vec_id long, score double")
+    found = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

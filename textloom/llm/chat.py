@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged
+from textloom.llm.common import join_side, staged
 
 SEGMENT = 512
 START, END = "<|im_start|>", "<|im_end|>"
@@ -70,7 +70,7 @@ def collapsed(rows: DataFrame, spans: DataFrame) -> DataFrame:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, role, text) of the conversations that are no prefix of another."""
     rows, spans = _placed(turns)
-    gone = staged(collapsed(rows, spans), "gone")
+    gone = join_side(staged(collapsed(rows, spans), "gone"), 64)
     placed = _with_span(rows, spans)
     return placed.join(gone, placed["conv_id"].eqNullSafe(gone["gone"]), "left_anti").select("conv_id", "pos", "role", "text")
 
