@@ -152,3 +152,29 @@ def test_annotators(spark):
     assert rows[0].t__lemma == ["dogs", "run", "."] and rows[1].t__lemma is None and rows[1].t__pos == ["X"] * 3 and rows[2].t__lemma == ["chats", "!"] and rows[3].t__pos is None
     assert p.local({"t": "A b", "l": "de"}, "t", "l", "t")["t__lemma"] is None
     assert df.select(a.udf("ssplit")("t")).first()[0] == ["Dogs run."] and annotate.clean_xml("<p>a &amp; b</p>") == ["a", "&", "b"]
+
+
+def test_sums_of_long_lists_in_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    matrix = rng.normal(size=(50, 6)).astype(np.float32)
+    index = {"a": {f"w{i}": i for i in range(40)}, "b": {f"w{i}": i + 10 for i in range(40)}}
+    lists = [None, [], ["x", None], *[[f"w{i}" for i in rng.integers(0, 45, n)] for n in (1, 3, 400, 2, 90)]]
+    codes = ["a", "b", "a", "a", "b", "a", None, "b"]
+    for entries in (6, 60, 1 << 20):
+        got = embeddings._sums(pa.array(codes), pa.array(lists, pa.list_(pa.string())), index, matrix, entries).to_pylist()
+        for code, own, v in zip(codes, lists, got, strict=True):
+            if code is None or own is None:
+                assert v is None
+                continue
+            total = sum((matrix[index[code][w]].astype(float) for w in own if w in index[code]), np.zeros(6))
+            assert np.allclose(v, total / (np.sqrt((total * total).sum()) or 1), atol=1e-6)
+
+
+def test_embedding_keeps_clashing_columns(spark, dictionary):
+    docs = spark.createDataFrame([(1, ["İstanbul", "x"], "en", 5, 6)], "i int, w array<string>, l string, _row int, total int")
+    for limit in (1 << 30, 0):
+        made = dictionary.embed(docs, "l", "w", "v", max_broadcast=limit)
+        assert made.columns == [*docs.columns, "v"] and made.select("_row", "total").first()[:] == (5, 6)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.config import materialized
+from textloom.config import free_name, materialized
 from textloom.functions.text import or_default
 from textloom.functions.vectors import dot
 from textloom.operators.text import vocabulary
@@ -36,38 +37,34 @@ class WordVectors:
         rows = self.table.select("lang", "word", "vector").toArrow()
         langs, own_words = rows.column("lang").to_pylist(), rows.column("word").to_pylist()
         matrix = np.asarray(rows.column("vector").combine_chunks().flatten().to_numpy(), np.float32).reshape(len(langs), self.dim)
-        shared = df.sparkSession.sparkContext.broadcast(({k: i for i, k in enumerate(zip(langs, own_words, strict=True))}, matrix))
-        dim = self.dim
+        index: dict[str, dict[str, int]] = {}
+        for i, (lang, word) in enumerate(zip(langs, own_words, strict=True)):
+            index.setdefault(lang, {})[word] = i
+        shared = df.sparkSession.sparkContext.broadcast((index, matrix))
 
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            index, vectors = shared.value
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for codes, lists in batches:
-                out: list[np.ndarray | None] = []
-                for code, own in zip(codes, lists, strict=True):
-                    if code is None or own is None:
-                        out.append(None)
-                        continue
-                    at = [i for w in own if w is not None and (i := index.get((code, w.lower()))) is not None]
-                    total = vectors[at].sum(axis=0, dtype=np.float64) if at else np.zeros(dim)
-                    norm = np.sqrt((total * total).sum())
-                    out.append((total / norm if norm > 0 else total).astype(np.float32))
-                yield pd.Series(out)
+                yield _sums(codes, lists, *shared.value)
 
         code = F.when(F.col(language).isNotNull(), or_default(F.col(language), self.supported, self.default))
-        return df.withColumn(output, run(code, F.col(words)))
+        # lower-cased by the engine, as the join below does it, so that both find the same words
+        return df.withColumn(output, run(code, F.transform(words, lambda w: F.lower(w))))
 
     def embed_with_join(self, df: DataFrame, language: str, words: str, output: str) -> DataFrame:
         """The same without a broadcast: counts per row, a join by (language, word), a sum per dimension."""
         code = or_default(F.col(language), self.supported, self.default)
         # written with their numbers, so that these stay the same whatever is computed again
-        keyed = materialized(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        row, total, norm = (free_name(df, n) for n in ("row", "total", "norm"))
+        keyed = materialized(df.withColumn(row, F.monotonically_increasing_id()), "rows")
         lowered = F.transform(words, lambda w: F.lower(w))
-        bags = keyed.where(F.col(language).isNotNull() & F.col(words).isNotNull()).select("_row", code.alias("lang"), F.explode(lowered).alias("word")).groupBy("_row", "lang", "word").agg(F.count("*").alias("n"))
-        sums = bags.join(self.table, ["lang", "word"]).groupBy("_row").agg(*[F.sum(F.col("vector")[i].cast("double") * F.col("n")).alias(f"_s{i}") for i in range(self.dim)])
-        total = F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(self.dim)])
-        joined = keyed.join(sums, "_row", "left").withColumn("_t", total).withColumn("_n", F.sqrt(dot(F.col("_t"), F.col("_t"))))
-        scaled = F.transform("_t", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x).cast("float"))
+        bags = keyed.where(F.col(language).isNotNull() & F.col(words).isNotNull()).select(F.col(row).alias("row"), code.alias("lang"), F.explode(lowered).alias("word")).groupBy("row", "lang", "word").agg(F.count("*").alias("n"))
+        places = range(self.dim)
+        sums = bags.join(self.table, ["lang", "word"]).groupBy("row").agg(*[F.sum(F.col("vector")[i].cast("double") * F.col("n")).alias(f"s{i}") for i in places])
+        sums = sums.select(F.col("row").alias(row), F.array(*[F.col(f"s{i}") for i in places]).alias(total))
+        joined = keyed.join(sums, row, "left").withColumn(total, F.coalesce(total, F.array_repeat(F.lit(0.0), self.dim)))
+        joined = joined.withColumn(norm, F.sqrt(dot(F.col(total), F.col(total))))
+        scaled = F.transform(total, lambda x: F.when(F.col(norm) > 0, x / F.col(norm)).otherwise(x).cast("float"))
         vector = F.when(F.col(language).isNotNull() & F.col(words).isNotNull(), scaled)
         return joined.select(*[F.col(f"`{c}`") for c in df.columns], vector.alias(output))
 
@@ -133,6 +130,49 @@ class WordVectors:
         return f"{self.table.count()} words in {self.table.select('lang').distinct().count()} languages"
 
 
+def _sums(codes: pa.Array, lists: pa.Array, index: dict[str, dict[str, int]], matrix: np.ndarray, entries: int = 1 << 22) -> pa.Array:
+    """Unit-length sums of the vectors of each list's words; a list of words is looked up by its different words, not one by one."""
+    n, dim = len(lists), matrix.shape[1]
+    out = np.zeros((n, dim), np.float32)
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    empty = np.asarray(pc.or_(pc.is_null(codes), pc.is_null(lists)))
+    owner = np.repeat(np.arange(n), lengths)
+    words = pc.dictionary_encode(lists.flatten())
+    names, place = words.dictionary.to_pylist(), np.asarray(pc.fill_null(words.indices, -1), np.int64)
+    kinds = pc.dictionary_encode(codes)
+    kind = np.asarray(pc.fill_null(kinds.indices, -1), np.int64)[owner]
+    at = np.full(len(owner), -1, np.int64)
+    for k, code in enumerate(kinds.dictionary.to_pylist()):
+        own = index.get(code)
+        if own:
+            mine = np.flatnonzero((kind == k) & (place >= 0))
+            used = np.unique(place[mine])
+            found = np.full(len(names), -1, np.int64)
+            found[used] = [own.get(names[i], -1) for i in used.tolist()]
+            at[mine] = found[place[mine]]
+    known = at >= 0
+    at, owner = at[known], owner[known]
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    step = max(1, entries // dim)
+    first = 0
+    while first < len(begins):  # whole lists, some millions of numbers at a time
+        last = max(first + 1, int(np.searchsorted(begins, begins[first] + step, "right")) - 1)
+        end = begins[last] if last < len(begins) else len(at)
+        sums = np.zeros((last - first, dim))
+        part, cuts = at[begins[first] : end], begins[first:last] - begins[first]
+        for b in range(0, len(part), step):  # a list may be longer than that
+            piece = part[b : b + step]
+            inside = np.searchsorted(cuts, [b, b + len(piece) - 1], "right") - 1
+            here = cuts[inside[0] : inside[1] + 1] - b
+            here[0] = 0
+            sums[inside[0] : inside[1] + 1] += np.add.reduceat(matrix[piece].astype(np.float64), here, axis=0)
+        norms = np.sqrt((sums * sums).sum(axis=1))
+        out[owner[begins[first:last]]] = sums / np.where(norms > 0, norms, 1)[:, None]
+        first = last
+    cuts = np.arange(n + 1, dtype=np.int32) * dim
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(out.ravel()), mask=pa.array(empty))
+
+
 def load(spark, path: str, supported: tuple[str, ...], default_language: str, dim: int) -> WordVectors:
     return WordVectors(spark.read.parquet(path), supported, default_language, dim)
 

@@ -9,12 +9,16 @@ from textloom.functions import text as X
 
 
 def with_clean_text(df: DataFrame, column: str, output: str, acronyms: dict[str, str] | None = None) -> DataFrame:
-    """Adds the cleaned text. The rules and the acronyms are separate projections, and rows that mention no acronym take a short cut."""
-    ruled = df.withColumn(output, X.apply_rules(F.col(column)))
+    """Adds the cleaned text. Every step is a projection of its own over the one before, so that a text is tested cheaply before a costly step rewrites it; rows that mention no acronym take a short cut."""
+    # the optimizer doesn't merge a projection into one that uses its costly result several times, so each step runs once
+    made = df.withColumn(output, F.col(column))
+    for name, pattern, new in X.RULES:
+        made = made.withColumn(output, X.guarded_rule(F.col(output), name, pattern, new))
+        if name.startswith("blanks"):
+            made = made.withColumn(output, F.when(F.col(output).contains("  "), F.regexp_replace(output, " {2,}", " ")).otherwise(F.col(output)))
     if not acronyms:
-        return ruled
-    # the optimizer doesn't merge a projection into one that uses its costly result several times, so the rules run once
-    return ruled.withColumn(output, F.when(X.mentions_acronym(F.col(output), acronyms), X.expand_acronyms(F.col(output), acronyms)).otherwise(F.col(output)))
+        return made
+    return made.withColumn(output, F.when(X.mentions_acronym(F.col(output), acronyms), X.expand_acronyms(F.col(output), acronyms)).otherwise(F.col(output)))
 
 
 def detect_acronyms(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
