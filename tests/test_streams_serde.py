@@ -187,3 +187,82 @@ def test_stateful_streams(spark, tmp_path):
     assert {tuple(r) for r in windows.run_available(out, f"{path}-o4", f"{path}-c4").where("owner = 'ann'").collect()} == {("ann", "fig"), ("ann", "kiwi")}
     with pytest.raises(AnalysisException):
         stream().groupBy("owner").count().writeStream.format("parquet").outputMode("append").option("path", f"{path}-o5").option("checkpointLocation", f"{path}-c5").start()
+
+
+def test_avro_frames_keep_every_digit(spark, tmp_path):
+    reg = registry.FileRegistry(str(tmp_path / "r.json"))
+    kind = "n long, x double, f float, b binary, a array<long>, m map<string,double>, s struct<k:long,t:struct<u:string,v:long>>, ok boolean"
+    rows = [
+        (9007199254740993, float("nan"), 0.1, bytearray(b"\0\xff"), [1, None, -(2**63)], {"a": float("nan"), "b": None}, (2**63 - 1, ("ü", None)), True),
+        (None, None, None, None, None, None, None, None),
+        (-(2**63), float("-inf"), float("nan"), bytearray(), [], {}, (None, None), False),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    framed = avro.to_confluent_avro(df, reg, "t-value", "value")
+    back = framed.select(avro.from_confluent_avro(F.col("value"), reg, "t-value").alias("v")).select("v.*")
+    assert [str(r) for r in back.collect()] == [str(r) for r in df.collect()]
+    assert framed.select(avro.from_confluent_avro(F.lit(None).cast("binary"), reg, "t-value").alias("v")).where("v is null").count() == 3
+
+
+def test_writers_that_come_later(spark, tmp_path):
+    """A decoder that was planned before a schema was registered reads what it wrote, nested fields and wider numbers included."""
+    reg = registry.FileRegistry(str(tmp_path / "r.json"))
+    old = {"type": "record", "name": "r", "fields": [{"name": "n", "type": "int"}, {"name": "in", "type": {"type": "record", "name": "i", "fields": [{"name": "a", "type": "string"}]}}]}
+    new = {"type": "record", "name": "r", "fields": [{"name": "in", "type": {"type": "record", "name": "i", "fields": [{"name": "z", "type": "long"}, {"name": "a", "type": "string"}]}}, {"name": "n", "type": "int"}]}
+    reader = {"type": "record", "name": "r", "fields": [{"name": "n", "type": "double"}, {"name": "in", "type": {"type": "record", "name": "i", "fields": [{"name": "a", "type": "string"}, {"name": "q", "type": "string", "default": "d"}]}}]}
+    one = reg.register("t-value", old)
+    reg.register("t-value", reader)
+    decode = avro.from_confluent_avro(F.col("value"), reg, "t-value")
+    two = registry.FileRegistry(str(tmp_path / "r.json")).register("t-value", new)
+    head = lambda i: b"\0" + struct.pack(">i", i)
+    values = [head(one) + avro.encode(old, {"n": 1, "in": {"a": "x"}}), head(two) + avro.encode(new, {"n": 2, "in": {"z": 5, "a": "y"}})]
+    df = spark.createDataFrame([(bytearray(v),) for v in values], "value binary")
+    assert [(r[0].n, r[0]["in"].a, r[0]["in"].q) for r in df.select(decode).collect()] == [(1.0, "x", "d"), (2.0, "y", "d")]
+    with pytest.raises(Exception, match="isn't one of"):
+        spark.createDataFrame([(bytearray(head(99) + b"x"),)], "value binary").select(decode).collect()
+
+
+def test_named_types_enums_and_fixed():
+    schema = avro.inlined({"type": "record", "name": "r", "fields": [{"name": "a", "type": {"type": "enum", "name": "e", "symbols": ["X", "Y"]}}, {"name": "b", "type": "e"}, {"name": "c", "type": {"type": "fixed", "name": "f", "size": 2}}]})
+    value = {"a": "X", "b": "Y", "c": b"\1\2"}
+    assert avro.decode(schema, avro.encode(schema, value)) == (value, 4) and avro.to_spark(schema).simpleString() == "struct<a:string,b:string,c:binary>"
+
+
+def test_a_missing_version_is_an_error(spark, tmp_path):
+    kind = "unique_entity_key string, producer_timestamp long, kafka_value_is_null boolean, v int"
+    batch = lambda *rows: spark.createDataFrame(list(rows), kind)
+    apply = topics.upsert_batch(spark, f"file://{tmp_path}/u")
+    for i in range(4):
+        apply(batch(("a", i, False, i)), i)
+    assert sorted(p.name for p in (tmp_path / "u").iterdir()) == ["2", "3"]
+    with pytest.raises(topics.HistoryMissing):
+        apply(batch(("a", 9, False, 9)), 5)
+
+
+def test_compacted_log(spark, tmp_path):
+    import shutil
+
+    kind = "unique_entity_key string, producer_timestamp long, kafka_value_is_null boolean, v int"
+    log = topics.CompactedLog(spark, f"file://{tmp_path}/log", every=3)
+    every: list[tuple] = []
+    for i in range(8):
+        rows = [(f"k{j}", i - j % 2, (i + j) % 5 == 0, i) for j in range(i % 3 + 2)] + [(None, 1, False, 0)]
+        every += rows[:-1]
+        for _ in range(2 if i in (2, 5) else 1):  # a batch that runs again
+            log.apply(spark.createDataFrame(rows, kind), i)
+        newest = {k: max(t for e, t, _, _ in every if e == k) for k in {e for e, *_ in every}}
+        assert sorted(map(str, map(tuple, log.read().distinct().collect()))) == sorted({str(r) for r in every if r[1] == newest[r[0]]})
+    assert log._complete() == ([2, 5], [3, 4, 5, 6, 7])
+    shutil.rmtree(tmp_path / "log" / "delta-6")
+    with pytest.raises(topics.HistoryMissing):
+        log.read()
+    with pytest.raises(topics.HistoryMissing):
+        log.apply(spark.createDataFrame([("k0", 99, False, 1)], kind), 8)
+
+
+def test_stop_ends_under_steady_input(spark, tmp_path):
+    query = spark.readStream.format("rate").option("rowsPerSecond", 500).load().writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/c").trigger(processingTime="0 seconds").start()
+    while query.lastProgress is None:
+        pass
+    multi.stop_after_batch(query, 30)
+    assert not query.isActive

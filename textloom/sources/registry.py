@@ -45,6 +45,8 @@ class FileRegistry:
         return list(range(1, len(self.data.get(subject, [])) + 1))
 
     def schemas_by_id(self, subject: str) -> dict[int, dict]:
+        if self.path and self.path.exists():  # another process may have registered more
+            self.data = json.loads(self.path.read_text())
         return {v["id"]: v["schema"] for v in self.data.get(subject, [])}
 
     def register(self, subject: str, schema: dict) -> int:
@@ -66,6 +68,12 @@ class HttpRegistry:
         self.timeout = timeout
         self._get = lru_cache(capacity)(self._fetch)
 
+    def __getstate__(self) -> dict:
+        return {"urls": self.urls, "timeout": self.timeout}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(",".join(state["urls"]), timeout=state["timeout"])
+
     def _request(self, path: str, body: dict | None = None):
         import urllib.request
 

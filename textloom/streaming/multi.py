@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,19 @@ def catalogue(registry: SchemaRegistry, domain: str) -> dict[str, dict[str, Even
     return found
 
 
+def stop_after_batch(query, timeout: float = 60.0, pause: float = 0.05) -> None:
+    """Stops a query between two batches: at the next progress, or when nothing runs."""
+    began = time.monotonic()
+    last = query.lastProgress
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() - began < timeout:
+        now = query.lastProgress
+        if now is not None and (last is None or now["batchId"] != last["batchId"]):
+            break
+        time.sleep(pause)
+    if query.isActive:
+        query.stop()
+
+
 class EventTopics:
     """Router from topics to a directory of files per event."""
 
@@ -62,40 +76,59 @@ class EventTopics:
         return f"{self.root}/{topic}/{event}"
 
     def start(self, topic: str, interval_ms: int | None = None, file_format: str = "parquet", event: str | None = None) -> None:
-        """A query per event: filter by id, decode, append to its directory."""
+        """One query that reads the topic once and gives each event its rows; with ``event`` for that one alone.
+
+        A batch of an event is a directory of its own, so that a batch that runs again writes the same again.
+        """
+        names = [event] if event else sorted(self.events[topic])
+        names = [n for n in names if not ((topic, n) in self.queries and self.queries[topic, n].isActive)]
+        if not names:
+            return
+        kinds = {n: self.events[topic][n] for n in names}
+
+        def route(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.persist()
+            try:
+                there = {r[0] for r in batch.select("schemaID").distinct().collect()}  # as many as there are schemas
+                for name, kind in kinds.items():
+                    if there.intersection(kind.schema_ids):
+                        self._decoded(batch, kind).write.format(file_format).mode("overwrite").save(f"{self.path(topic, name)}/batch-{batch_id}")
+            finally:
+                batch.unpersist()
+
         stream = self._framed(self.transport.stream(self.spark, topic))
-        for name, kind in self.events[topic].items():
-            if event not in (None, name) or ((topic, name) in self.queries and self.queries[topic, name].isActive):
-                continue
-            writer = self._decoded(stream, kind).writeStream.format(file_format).outputMode("append").option("path", self.path(topic, name)).option("checkpointLocation", f"{self.path(topic, name)}-CHECKPOINT")
-            writer = writer.trigger(availableNow=True) if interval_ms is None else writer.trigger(processingTime=f"{interval_ms} milliseconds")
-            self.queries[topic, name] = writer.start()
-
-    def stop(self, topic: str, event: str | None = None) -> None:
-        """After the micro-batch that runs."""
-        for (t, e), query in list(self.queries.items()):
-            if t == topic and event in (None, e) and query.isActive:
-                query.processAllAvailable()
-                query.stop()
+        where = f"{self.root}/{topic}/{event or 'all'}-CHECKPOINT"
+        writer = stream.writeStream.foreachBatch(route).option("checkpointLocation", where)
+        writer = writer.trigger(availableNow=True) if interval_ms is None else writer.trigger(processingTime=f"{interval_ms} milliseconds")
+        query = writer.start()
+        for name in names:
+            self.queries[topic, name] = query
+
+    def stop(self, topic: str, event: str | None = None, timeout: float = 60.0) -> None:
+        """Ends the query that serves the event (or all of the topic) when the batch that runs is done, however fast rows come in; after ``timeout`` seconds at once."""
+        for query in {id(q): q for (t, e), q in self.queries.items() if t == topic and event in (None, e)}.values():
+            stop_after_batch(query, timeout)
 
     def wait(self, topic: str) -> None:
-        for (t, _), query in self.queries.items():
-            if t == topic:
-                query.awaitTermination()
+        for query in {id(q): q for (t, _), q in self.queries.items() if t == topic}.values():
+            query.awaitTermination()
+
+    def _batches(self, topic: str, event: str) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(topic, event))
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = [s.getPath().toString() for s in fs.listStatus(root) if s.isDirectory()]
+        return sorted(p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")))
 
     def get(self, topic: str, event: str, interval_ms: int | None = None, file_format: str = "parquet") -> DataFrame:
-        """Stops the event's query at the end of a batch, reads and keeps its files, starts the query again from its checkpoint."""
-        running = (topic, event) in self.queries and self.queries[topic, event].isActive
-        if running:
-            self.stop(topic, event)
-        df = self.spark.read.format(file_format).load(self.path(topic, event)).persist()
+        """Reads and keeps the event's rows of all whole batches; its query goes on."""
+        df = self.spark.read.format(file_format).load(self._batches(topic, event) or self.path(topic, event)).persist()
         df.count()
         old = self.frames.pop((topic, event), None)
         if old is not None:
             old.unpersist()
         self.frames[topic, event] = df
-        if running:
-            self.start(topic, interval_ms, file_format, event)
         return df
 
     def snapshot(self, topic: str, event: str, name: str) -> str:

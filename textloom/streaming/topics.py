@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from textloom.sources.connectors import kafka_read_options, kafka_write_options
 from textloom.sources.registry import SchemaRegistry
 from textloom.sources.serde import deserialize, serialize
+from textloom.streaming.compacted import CompactedLog, HistoryMissing, newest_rows
 
 Transform = Callable[[DataFrame], DataFrame]
 ENVELOPE = "key binary, value binary, topic string, timestamp timestamp"
@@ -113,25 +114,34 @@ def compact(df: DataFrame, entity: str = "unique_entity_key", produced: str = "p
     return latest.drop(*[c for c in KAFKA_COLUMNS if c in df.columns]) if drop else latest
 
 
-def upsert_batch(spark: SparkSession, path: str, entity: str = "unique_entity_key", produced: str = "producer_timestamp", removed: str = "kafka_value_is_null"):
-    """A ``foreachBatch`` function that keeps a compacted table (with tombstones) under ``path/version``."""
+def upsert_batch(spark: SparkSession, path: str, entity: str = "unique_entity_key", produced: str = "producer_timestamp", keep: int = 2):
+    """A ``foreachBatch`` function that keeps a compacted table (with tombstones) whole in ``path/batch``, and the last ``keep`` of them.
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql.utils import AnalysisException as Missing
+    A batch whose predecessor isn't there is an error: what it holds would replace the history. For tables that are
+    large beside a batch use ``compacted.CompactedLog``.
+    """
 
-        now = f"{path}/{batch_id}"
+    def apply(batch: DataFrame, batch_id: int) -> None:
         merged = batch
+        fs, before = _hadoop(spark, f"{path}/{batch_id - 1}")
         if batch_id:
-            try:
-                merged = spark.read.parquet(f"{path}/{batch_id - 1}").unionByName(batch, allowMissingColumns=True)
-            except Missing:
-                merged = batch
-        newest = Window.partitionBy(entity).orderBy(F.desc(produced))
-        merged.withColumn("_rank", F.rank().over(newest)).where("_rank = 1").drop("_rank").write.mode("overwrite").parquet(now)
+            if not fs.exists(_hadoop(spark, f"{path}/{batch_id - 1}/_SUCCESS")[1]):
+                raise HistoryMissing(f"{path} has no version {batch_id - 1}")
+            merged = spark.read.parquet(f"{path}/{batch_id - 1}").unionByName(batch, allowMissingColumns=True)
+        newest_rows(merged, entity, produced).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        for old in fs.listStatus(before.getParent()):
+            name = old.getPath().getName()
+            if name.isdigit() and int(name) <= batch_id - keep:
+                fs.delete(old.getPath(), True)
 
     return apply
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 # configuration --
 
 
@@ -156,6 +166,8 @@ class SinkSettings:
     transformation: Transform | None = None
     post_process: Transform | None = None
     cache: bool = True
+    #: Event-sourced topics are kept as a base and the batches since; so many batches make a new base. None: every row ever is kept.
+    compact_every: int | None = 20
 
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}.parquet"
@@ -336,16 +348,22 @@ class _TopicTable:
 class ParquetTopicTable(_TopicTable):
     """Topic to Parquet files, read back as a table."""
 
-    def _writer(self, df: DataFrame):
+    def _log(self) -> CompactedLog | None:
         s = self.settings
-        return df.writeStream.format("parquet").option("path", s.sink.path(s.topic.name)).option("checkpointLocation", s.sink.checkpoint(s.topic.name))
+        return CompactedLog(self.spark, s.sink.path(s.topic.name), every=s.sink.compact_every) if s.entity_key and s.sink.compact_every else None
+
+    def _writer(self, df: DataFrame):
+        s, log = self.settings, self._log()
+        writer = df.writeStream.option("checkpointLocation", s.sink.checkpoint(s.topic.name))
+        return writer.foreachBatch(log.apply) if log else writer.format("parquet").option("path", s.sink.path(s.topic.name))
 
     def _paths(self) -> list[str]:
         s = self.settings
         return [s.sink.path(s.topic.name), s.sink.checkpoint(s.topic.name)]
 
     def _read_back(self) -> DataFrame:
-        df = self.spark.read.parquet(self.settings.sink.path(self.settings.topic.name))
+        log = self._log()
+        df = log.read() if log else self.spark.read.parquet(self.settings.sink.path(self.settings.topic.name))
         if df.isEmpty():
             raise LookupError(f"{self.settings.topic.name} is empty so far")
         return self._finish(df)
