@@ -438,10 +438,13 @@ _QUERIES = [
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in _QUERIES}
+    from textloom.catalog_more import QUERIES
+
+    return {q.__name__: q for q in _QUERIES} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from textloom.catalog_more import SQL
     from textloom.catalog_sql import statements
 
-    return statements()
+    return statements() | SQL

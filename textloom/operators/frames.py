@@ -138,8 +138,10 @@ def merge_dataframes(frames: list[DataFrame]) -> DataFrame:
 
 
 def transform_with(df: DataFrame, pipeline) -> DataFrame:
-    """Applies a pipeline of this library, or one of Spark's."""
-    return pipeline.fit(df).transform(df) if hasattr(pipeline, "fit") else df.transform(pipeline)
+    """Applies a pipeline of this library, a pipeline, estimator or transformer of Spark's, or a function."""
+    if hasattr(pipeline, "fit"):
+        return pipeline.fit(df).transform(df)
+    return pipeline.transform(df) if hasattr(pipeline, "transform") else df.transform(pipeline)
 
 
 def debug_show(df: DataFrame, n: int = 20) -> DataFrame:

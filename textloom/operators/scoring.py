@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.config import free_name, materialized
 from textloom.functions.vectors import ROW_AGGREGATES, boosted, linear_weighted, similarity
 
 
@@ -25,9 +26,20 @@ def score_documents(df: DataFrame, vector: str, language: str, query_vector: lis
     return df.withColumn(output, boosted(similarity(F.col(vector), query), F.lit(query_language), F.col(language), boosts))
 
 
-def score_pairs(df: DataFrame, queries: DataFrame, vector: str, query_vector: str, output: str, max_queries: int = 10_000) -> DataFrame:
-    """Every row against every query, the queries' number being checked and shared."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search an index instead")
-    return df.crossJoin(F.broadcast(queries)).withColumn(output, similarity(F.col(vector), F.col(query_vector)))
+def score_pairs(df: DataFrame, queries: DataFrame, vector: str, query_vector: str, output: str, max_queries: int = 10_000, spread: int = 64) -> DataFrame:
+    """Every row against every query of a stated set: the queries are counted and, up to ``max_queries``, shared.
+
+    Beyond that they are cut into blocks of about that many; rows and blocks meet by (block, share of the rows), each
+    pair in one of ``spread`` tasks a block. The result has rows times queries rows either way; to find the nearest
+    few only, search an index.
+    """
+    n = queries.count()
+    score = similarity(F.col(vector), F.col(query_vector))
+    if n <= max_queries:
+        return df.crossJoin(F.broadcast(queries)).withColumn(output, score)
+    blocks = -(-n // max_queries)
+    block, share = (free_name(df.crossJoin(queries), name) for name in ("block", "share"))
+    cut = materialized(queries.withColumn(block, F.floor(F.rand(7) * blocks).cast("int")), "query-blocks")
+    right = cut.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    left = df.withColumn(share, F.floor(F.rand(11) * spread).cast("int")).withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(right.hint("shuffle_hash"), [block, share]).drop(block, share).withColumn(output, score)
