@@ -139,7 +139,7 @@ SELECT s1.item_id, round(greatest(s1.c / l.len, s2.c / (SELECT len FROM l WHERE
         "coordinates": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 2.5::DOUBLE ELSE 0::DOUBLE END AS latitude, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey - 10::DOUBLE ELSE 0::DOUBLE END AS longitude FROM nation",
         "url_valid": r"SELECT page_id, regexp_full_match(lower(u), '(ftp|https?)://([^\s/?#@]+@)?([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(:\d{2,5})?([/?#]\S*)?') OR (regexp_full_match(lower(u), '(ftp|https?)://\d{1,3}(\.\d{1,3}){3}([/?#]\S*)?') AND NOT regexp_matches(u, '^[a-z]+://(10|127)\.')) AS valid FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://10.0.0.' || (page_id % 9) WHEN 1 THEN 'http://93.184.216.' || (page_id % 9 + 1) WHEN 2 THEN 'http:// x.com' ELSE url END AS u FROM pages)",
         "url_detect": r"SELECT page_id, lower(regexp_extract(url, '^([^/]*//[^/?#]*)', 1)) || CASE WHEN rest = '' THEN '/' WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS found FROM (SELECT page_id, url, substr(url, length(regexp_extract(url, '^([^/]*//[^/?#]*)', 1)) + 1) AS rest FROM pages) UNION ALL SELECT page_id, 'http://www.test.org/' FROM pages",
-        "url_redirects": "WITH RECURSIVE k AS (SELECT page_id FROM pages WHERE page_id < 200), w AS (SELECT page_id AS a, page_id AS b, 0 AS h FROM k UNION ALL SELECT a, b + 1, h + 1 FROM w JOIN k ON k.page_id = w.b WHERE b % 7 <> 6 AND h < 11) SELECT 'u' || a AS orig, 'u' || max(b) AS final, max(h)::BIGINT AS hops FROM w GROUP BY a",
+        "url_redirects": "WITH RECURSIVE k AS (SELECT page_id FROM pages), w AS (SELECT page_id AS a, page_id AS b, 0 AS h FROM k UNION ALL SELECT a, b + 1, h + 1 FROM w JOIN k ON k.page_id = w.b WHERE b % 7 <> 6 AND h < 11) SELECT 'u' || a AS orig, 'u' || max(b) AS final, max(h)::BIGINT AS hops FROM w GROUP BY a",
         "json_infer": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
         "schema_ids": "SELECT event_id, (event_id * 7 % 65521)::BIGINT AS schema_id FROM events WHERE event_id * 7 % 65521 % 11 = 0",
         "stream_append": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'",
