@@ -178,3 +178,21 @@ def test_embedding_keeps_clashing_columns(spark, dictionary):
     for limit in (1 << 30, 0):
         made = dictionary.embed(docs, "l", "w", "v", max_broadcast=limit)
         assert made.columns == [*docs.columns, "v"] and made.select("_row", "total").first()[:] == (5, 6)
+
+
+def test_movers_shared_or_joined(spark, dictionary):
+    rows = [(1, [("king", 1), ("man", 1)], [("king", 2)], "en", 7), (2, [("queen", 2), ("zz", 5)], [("man", 1), ("desk", 3)], "en", 7), (3, [("zz", 1)], [("king", 1)], "en", 7), (4, None, [("king", 1)], "en", 7), (5, [], [("king", 1)], "en", 7), (2, [("queen", 2), ("zz", 5)], [("man", 1), ("desk", 3)], "en", 7)]
+    df = spark.createDataFrame(rows, "i int, bag array<struct<_1:string,_2:int>>, base array<struct<_1:string,_2:int>>, l string, row int")
+    for kind in ("euclidean_normalized", "cosine"):
+        shared, joined = (wmd.with_distance(df, dictionary.table, "base", "l", "bag", "l", "d", kind, n) for n in (1 << 30, 0))
+        assert shared.columns == joined.columns
+        a, b = (sorted((r.i, -1.0 if r.d is None else round(r.d, 4) if r.d < 1e9 else 1e9, r.row) for r in x.collect()) for x in (shared, joined))
+        assert [x[::2] for x in a] == [x[::2] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b], abs=1e-3)
+
+
+def test_pairs_of_many_queries_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "i int, v array<double>")
+    queries = spark.createDataFrame([(j, [1.0, float(j)]) for j in range(23)], "share int, q array<double>")
+    for limit in (100, 5):
+        got = scoring.score_pairs(df, queries, "v", "q", "s", limit, 3)
+        assert got.columns == ["i", "v", "share", "q", "s"] and sorted((r.i, r.share, r.s) for r in got.collect()) == [(i, j, float(i + j)) for i in range(40) for j in range(23)]

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from textloom.catalog import LANGS, _dictionary, _doc_words, _event_stream, _events, _t
 from textloom.catalog_sql import _PICK, _clean, _dot, _kept, _q, _tokens
-from textloom.config import SessionSettings, materialized, scratch_path, string_to_map
+from textloom.config import DEFAULT_BOOSTS, SessionSettings, materialized, scratch_path, string_to_map
 from textloom.functions import geo, text, translit, urls
-from textloom.operators import annotate, frames, places, scoring
+from textloom.operators import annotate, frames, places, scoring, wmd
 from textloom.operators import text as text_ops
 from textloom.plans import pipeline as P
 from textloom.plans.columns import AggregatedColumns, DistanceColumns, LocationColumns, SimilarityColumns, TextColumns, UrlColumns
@@ -439,3 +439,47 @@ def gazetteer_filled(spark, sf):
 def country_names(spark, sf):
     code = F.element_at(F.array(*map(F.lit, ("de", "US", "zz", "Fr", "GB"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
     return _t(spark, sf, "nation").select("n_nationkey", geo.country_name(code).alias("name"))
+
+
+# whole texts --
+
+
+@_query(f"WITH w AS (SELECT DISTINCT lang, text, unnest(list_filter({_tokens('text')}, " + r"lambda w: regexp_full_match(w, '\p{Lu}+'))) AS acronym FROM documents), t AS (SELECT DISTINCT acronym, text FROM w), r AS (SELECT acronym, md5(text) AS d, row_number() OVER (PARTITION BY acronym ORDER BY md5(text)) AS k FROM t) SELECT acronym, languages, n_texts, examples FROM (SELECT acronym, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, count(DISTINCT text) AS n_texts FROM w GROUP BY acronym) JOIN (SELECT acronym, array_to_string(list(d ORDER BY k), ',') AS examples FROM r WHERE k <= 20 GROUP BY acronym) USING (acronym)")
+def acronym_counts(spark, sf):
+    docs = _t(spark, sf, "documents").select("text", F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
+    made = text_ops.acronym_counts(text_ops.detect_acronyms([(docs, "text", "language", "words")]))
+    return made.select("acronym", F.array_join("languages", ",").alias("languages"), "n_texts", F.array_join(F.transform("examples", F.md5), ",").alias("examples"))
+
+
+@_query(f"SELECT DISTINCT lang AS language, md5(text) AS digest, unnest(list_filter({_tokens('text')}, " + r"lambda w: regexp_full_match(w, '\p{Lu}+'))) AS acronym FROM documents")
+def acronym_texts(spark, sf):
+    docs = _t(spark, sf, "documents").select("text", F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
+    made = text_ops.acronym_texts(text_ops.detect_acronyms([(docs, "text", "language", "words")]))
+    return made.select("acronym", "language", F.md5("text").alias("digest"))
+
+
+@_query(f"SELECT doc_id, round((CASE WHEN lang <> 'en' THEN s * 1.1::FLOAT ELSE s END)::DOUBLE, 4) AS score FROM (SELECT doc_id, lang, {_dot('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 2)')}::FLOAT AS s FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings))")
+def boosted_score_documents(spark, sf):
+    """Every document, with the vector that its id picks."""
+    own = _t(spark, sf, "embeddings")
+    docs = _t(spark, sf, "documents").withColumn("pick", F.pmod("doc_id", F.lit(own.count()))).join(own, F.col("pick") == F.col("vec_id"))
+    query = list(own.where("vec_id = 2").first()["embedding"])
+    return scoring.score_documents(docs, "embedding", "lang", query, "en", DEFAULT_BOOSTS, "score").select("doc_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@_query(f"""WITH a AS (SELECT doc_id, lower(unnest({_tokens('text')})) AS word FROM documents), q AS (SELECT word, count(*) AS n FROM (SELECT lower(unnest({_tokens('text')})) AS word FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)) GROUP BY word),
+w AS (SELECT word, {_PICK} AS pick FROM (SELECT word FROM a UNION SELECT word FROM q)), v AS (SELECT word, embedding::DOUBLE[] AS v FROM w JOIN embeddings ON vec_id = pick),
+d AS (SELECT x.word AS wo, q.word AS wq, q.n AS nq, sqrt(greatest(0, 2 - 2 * {_dot('x.v', 'y.v')})) AS d FROM v x, q JOIN v y ON y.word = q.word), near AS (SELECT wo, min(d) AS d FROM d GROUP BY wo),
+b AS (SELECT doc_id, word, count(*) AS n FROM a GROUP BY ALL),
+s1 AS (SELECT doc_id, sum(n * d) / sum(n) AS c FROM b JOIN near ON wo = word GROUP BY doc_id),
+s2 AS (SELECT doc_id, sum(nq * d) / (SELECT sum(n) FROM q) AS c FROM (SELECT doc_id, wq, nq, min(d) AS d FROM b JOIN d ON wo = word GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, round(greatest(s1.c, s2.c), 3) AS distance FROM s1 JOIN s2 USING (doc_id)""")
+def word_movers_documents(spark, sf):
+    """The distance of every document with a word to the first item of the benchmark."""
+    own = _t(spark, sf, "documents").select("doc_id", text.tokens(F.lower("text")).alias("words")).where(F.size("words") > 0)
+    bags = own.select("doc_id", F.lit("en").alias("lang"), text.bag_of_words(F.col("words")).alias("bag"))
+    base = _t(spark, sf, "benchmark").orderBy("item_id").limit(1).select(text.bag_of_words(text.tokens(F.lower("text"))).alias("base"), F.lit("en").alias("base_lang"))
+    pairs = materialized(bags.crossJoin(F.broadcast(base)), "pairs")
+    words = pairs.select(F.explode(F.concat(F.col("bag")["_1"], F.col("base")["_1"])).alias("word")).distinct().withColumn("lang", F.lit("en"))
+    made = wmd.with_distance(pairs, _dictionary(spark, sf, words).table, "base", "base_lang", "bag", "lang", "distance")
+    return made.select("doc_id", F.round(F.col("distance").cast("double"), 3).alias("distance"))

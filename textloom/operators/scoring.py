@@ -33,6 +33,9 @@ def score_pairs(df: DataFrame, queries: DataFrame, vector: str, query_vector: st
     pair in one of ``spread`` tasks a block. The result has rows times queries rows either way; to find the nearest
     few only, search an index.
     """
+    for frame, column in ((df, vector), (queries, query_vector)):
+        if frame.schema[column].dataType.typeName() != "array":
+            raise ValueError(f"column {column!r} holds no vectors")
     n = queries.count()
     score = similarity(F.col(vector), F.col(query_vector))
     if n <= max_queries:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -33,8 +33,26 @@ def detect_acronyms(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame
     return found
 
 
+def acronym_texts(found: DataFrame) -> DataFrame:
+    """(acronym, language, text), each once: all that an inventory holds, in rows, however often an acronym occurs."""
+    return found.distinct()
+
+
+def acronym_counts(found: DataFrame, examples: int = 20) -> DataFrame:
+    """(acronym, languages, n_texts, examples, expansion): how many different texts, and those of them with the smallest MD5 digests.
+
+    Nothing grows with a frequent acronym: texts are ranked by their digests, at most ``examples`` a task move.
+    """
+    once = found.select("acronym", "text").distinct().withColumn("digest", F.md5("text"))
+    first = Window.partitionBy("acronym").orderBy("digest")
+    chosen = once.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= examples)
+    chosen = chosen.groupBy("acronym").agg(F.transform(F.array_sort(F.collect_list(F.struct("digest", "text"))), lambda x: x["text"]).alias("examples"))
+    counts = found.groupBy("acronym").agg(F.array_sort(F.collect_set("language")).alias("languages"), F.count_distinct("text").alias("n_texts"))
+    return counts.join(chosen, "acronym").withColumn("expansion", F.lit("")).orderBy("languages", "acronym")
+
+
 def acronym_inventory(found: DataFrame) -> DataFrame:
-    """(acronym, languages, texts, expansion): what to fill in, sorted."""
+    """(acronym, languages, texts, expansion): what to fill in, sorted. A row holds every text of its acronym, so this is for short texts or ids; see ``acronym_counts`` and ``acronym_texts``."""
     grouped = found.groupBy("acronym").agg(F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_set("text")).alias("texts"))
     return grouped.withColumn("expansion", F.lit("")).orderBy("languages", "acronym")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.config import free_name, materialized
 from textloom.functions.vectors import DISTANCES
 
 FLOAT_MAX = float(np.finfo(np.float32).max)
@@ -43,31 +44,63 @@ def relaxed_distance(one: list[tuple[str, int]], other: list[tuple[str, int]], v
     return float(np.float32(max((n_a * d.min(axis=1)).sum() / len_a, (n_b * d.min(axis=0)).sum() / len_b)))
 
 
-def with_distance(df: DataFrame, table: DataFrame, base: str, base_language: str, varying: str, varying_language: str, output: str, kind: str = "euclidean_normalized", max_words: int = 2_000_000) -> DataFrame:
-    """Adds the distance of two bag columns; only the words that occur are taken from the dictionary (lang, word, vector), and their number is checked before they are shared."""
+#: Vectors of the words that occur may be sent to every worker up to this many bytes; beyond, they are joined.
+BROADCAST_BYTES = 256 << 20
+
+
+def with_distance(df: DataFrame, table: DataFrame, base: str, base_language: str, varying: str, varying_language: str, output: str, kind: str = "euclidean_normalized", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Adds the distance of two bag columns. Only words that occur are taken from the dictionary (lang, word, vector); their vectors are shared or joined by their size."""
     used = df.select(F.col(base_language).alias("lang"), F.explode(F.col(base)["_1"]).alias("word")).unionByName(df.select(F.col(varying_language).alias("lang"), F.explode(F.col(varying)["_1"]).alias("word"))).distinct()
-    rows = table.join(used, ["lang", "word"], "left_semi").select("lang", "word", "vector").limit(max_words + 1).toArrow()
-    if rows.num_rows > max_words:
-        raise ValueError("too many different words to share; use with_distance_native")
-    words = dict(zip(zip(rows.column("lang").to_pylist(), rows.column("word").to_pylist(), strict=True), rows.column("vector").to_pylist(), strict=True))
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    words = materialized(table.join(used, ["lang", "word"], "left_semi").select("lang", "word", F.col("vector").cast("array<float>").alias("vector")), "words")
+    numbers = words.agg(F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()[0]
+    if 4 * numbers > max_bytes:
+        return with_distance_by_join(df, words, base, base_language, varying, varying_language, output, kind)
+    rows = words.toArrow()
+    index = {k: i for i, k in enumerate(zip(rows.column("lang").to_pylist(), rows.column("word").to_pylist(), strict=True))}
+    matrix = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(len(index), -1) if index else np.zeros((0, 1), np.float32)
+    shared = df.sparkSession.sparkContext.broadcast((index, matrix))
 
     @F.pandas_udf(T.FloatType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        find = shared.value
+        places, vectors = shared.value
+
+        def find(code):
+            def vector(word):
+                at = places.get((code, word))
+                return None if at is None else vectors[at]
+
+            return vector
+
         pairs = lambda bag: [(x["_1"], x["_2"]) for x in bag]
         for a, la, b, lb in batches:
             out = []
             for one, lang_one, other, lang_other in zip(a, la, b, lb, strict=True):
-                if one is None or other is None:
-                    out.append(None)
-                    continue
-                out.append(relaxed_distance(pairs(one), pairs(other), lambda w, c=lang_one: find.get((c, w)), lambda w, c=lang_other: find.get((c, w)), kind))
+                out.append(None if one is None or other is None else relaxed_distance(pairs(one), pairs(other), find(lang_one), find(lang_other), kind))
             yield pd.Series(out, dtype="float32")
 
     return df.withColumn(output, run(F.col(base), F.col(base_language), F.col(varying), F.col(varying_language)))
 
 
+def with_distance_by_join(df: DataFrame, table: DataFrame, base: str, base_language: str, varying: str, varying_language: str, output: str, kind: str = "euclidean_normalized") -> DataFrame:
+    """The same without a broadcast: the words of every row meet the dictionary in a join; a row's vectors come together again, as many as its bags have words."""
+    row = free_name(df, "row")
+    keyed = materialized(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    there = F.col(base).isNotNull() & F.col(varying).isNotNull()
+
+    def words(side: int, bag: str, language: str) -> DataFrame:
+        own = keyed.where(there).select(F.col(row).alias("row"), F.lit(side).alias("side"), F.col(language).alias("lang"), F.explode(bag).alias("x"))
+        return own.select("row", "side", "lang", F.col("x._1").alias("word"), F.col("x._2").cast("double").alias("n"))
+
+    both = words(0, base, base_language).unionByName(words(1, varying, varying_language))
+    met = both.join(table.select("lang", "word", "vector").hint("shuffle_hash"), ["lang", "word"], "left")
+    sides = [F.collect_list(F.when(F.col("side") == k, F.struct("n", "vector"))).alias(f"side{k}") for k in (0, 1)]
+    gathered = met.groupBy("row").agg(*sides)
+    distances = gathered.select(F.col("row").alias(row), native_distance(F.col("side0"), F.col("side1"), kind).alias("d"))
+    far = F.lit(FLOAT_MAX).cast("float")
+    found = F.when(there, F.coalesce("d", far)).alias(output)
+    return keyed.join(distances, row, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != output], found)
+
+
 def native_distance(one: Column, other: Column, kind: str = "euclidean_normalized") -> Column:
     """Of two arrays of structs (n, vector or null), by native expressions."""
     distance = DISTANCES[kind]

@@ -114,6 +114,8 @@ class Settings:
     dictionary: object = None
     gazetteer: DataFrame | None = None
     url_resolver: Callable[[], Callable[[str], str | None]] = U.http_resolver
+    #: A trained ``functions.trained_language.LanguageModel``; without one, languages are told by script and stop words.
+    language_model: object = None
     spark: object = None
 
 
@@ -155,6 +157,10 @@ def local_language(text: str | None, supported: tuple[str, ...], default: str) -
 
 
 def _language(c: TextColumns, s: Settings) -> Stage:
+    if s.language_model is not None:
+        allowed = frozenset(s.supported)
+        detect = lambda df: df.withColumn(c.language, s.language_model.column(df.sparkSession, s.default_language, s.supported)(F.col(c.text)))
+        return Stage("LanguageDetector", {"inputCol": c.text}, c.language, detect, lambda r: s.language_model.detect(r.get(c.text), s.default_language, allowed))
     return Stage("LanguageDetector", {"inputCol": c.text}, c.language, lambda df: df.withColumn(c.language, L.detect_language(F.col(c.text), s.supported, s.default_language)), lambda r: local_language(r.get(c.text), s.supported, s.default_language))
 
 
