@@ -38,6 +38,7 @@ UNKNOWN = "und"
 BLOCK = 256
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, CHARS_IN_ALL = 64, 1500, 48_000, 4_000_000
 _SEGMENT = 1 << 20
+_LOW = 0 if sys.byteorder == "little" else 1  # where the lower half of a 64-bit number lies
 
 
 def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -144,8 +145,16 @@ class CrossParser:
             self.alphabet.append(len(np.unique(codes)))
             at += len(owner)
         pad = np.full(self.width, -1, np.int32)  # a step from the last place stays in the table
-        self.owner = np.concatenate([*owners, pad]).astype(np.int32)
-        self.target = np.concatenate([*targets, pad]).astype(np.int32)
+        owner, target = np.concatenate([*owners, pad]).astype(np.int64), np.concatenate([*targets, pad]).astype(np.int64)
+        self.table = owner << 32 | target & 0xFFFFFFFF  # both parts of an entry in one look
+
+    @property
+    def owner(self) -> np.ndarray:
+        return (self.table >> 32).astype(np.int32)
+
+    @property
+    def target(self) -> np.ndarray:
+        return self.table.astype(np.int32)
 
     @property
     def keys(self) -> np.ndarray:
@@ -176,26 +185,28 @@ class CrossParser:
         flat = np.concatenate([blocks[i] for i in order])
         column = np.repeat(np.arange(len(blocks)), lengths)
         grid[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), column] = flat
-        roots = np.array(self.root, np.int32)
-        state = np.repeat(roots[:, None], len(blocks), axis=1)
-        count = np.zeros_like(state)
-        active = np.searchsorted(-lengths, -np.arange(width), "left")  # blocks longer than k
+        langs, table = len(self.langs), self.table
+        # by block and then by language, so that the blocks still under way are one stretch of memory
+        root = np.tile(np.array(self.root, np.int32), len(blocks))
+        state, count = root.copy(), np.zeros(len(root), np.int32)
+        active = langs * np.searchsorted(-lengths, -np.arange(width), "left")  # blocks longer than k
         for k in range(width):
             n = active[k]
-            now, codes = state[:, :n], grid[k, :n]
-            at = now + codes
-            to = self.target.take(at)
-            lang, block = np.nonzero(self.owner.take(at) != now)
-            if len(lang):  # a phrase ends; a letter that the language lacks is one of its own
-                root = roots[lang]
-                again = root + codes[block]
-                known = self.owner.take(again) == root
-                to[lang, block] = np.where(known, self.target.take(again), root)
-                count[lang, block] += (now[lang, block] != root).astype(np.int32) + ~known
-            state[:, :n] = to
-        count += state != roots[:, None]
-        out = np.zeros_like(count)
-        out[:, order] = count
+            now = state[:n]
+            at = now + np.repeat(grid[k, : n // langs], langs)
+            entry = table.take(at).view(np.int32)
+            to = entry[_LOW::2].copy()
+            ends = np.flatnonzero(entry[1 - _LOW :: 2] != now)
+            if len(ends):  # a phrase ends; a letter that the language lacks is one of its own
+                here, before = root.take(ends), now.take(ends)
+                entry = table.take(here + at.take(ends) - before).view(np.int32)
+                known = entry[1 - _LOW :: 2] == here
+                to[ends] = np.where(known, entry[_LOW::2], here)
+                count[ends] += (before != here).astype(np.int32) + ~known
+            state[:n] = to
+        count += state != root
+        out = np.zeros((langs, len(blocks)), np.int32)
+        out[:, order] = count.reshape(-1, langs).T
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
