@@ -483,3 +483,18 @@ def word_movers_documents(spark, sf):
     words = pairs.select(F.explode(F.concat(F.col("bag")["_1"], F.col("base")["_1"])).alias("word")).distinct().withColumn("lang", F.lit("en"))
     made = wmd.with_distance(pairs, _dictionary(spark, sf, words).table, "base", "base_lang", "bag", "lang", "distance")
     return made.select("doc_id", F.round(F.col("distance").cast("double"), 3).alias("distance"))
+
+
+_URL = urls._CANDIDATE
+
+
+@_query(rf"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html || ' ' || url, {_q(_URL)}, 1)) AS u FROM pages),
+f AS (SELECT page_id, regexp_replace(CASE WHEN regexp_matches(u, '(?i)^(?:https?|ftp)://') THEN u ELSE 'http://' || u END, '[).,;:!?\]]+$', '') AS f FROM c),
+n AS (SELECT page_id, regexp_extract(f, '^([^/]*//[^/?#]*)', 1) AS head, f FROM f),
+r AS (SELECT page_id, lower(head) AS head, substr(f, length(head) + 1) AS rest FROM n),
+x AS (SELECT page_id, head || CASE WHEN rest = '' THEN '/' WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS found FROM r)
+SELECT page_id, found FROM x WHERE regexp_extract(lower(found), {_q(r'^[a-z]+://(?:[^/?#@]*@)?[^/?#:]*?([^./?#:@]+)(?::\d+)?(?:[/?#]|$)')}, 1) IN ({', '.join(map(_q, urls.TLDS))})""")
+def url_detect_pages(spark, sf):
+    """URLs in the whole markup of every page, and its own."""
+    found = F.explode(urls.detect_urls(F.concat_ws(" ", "html", "url")))
+    return _t(spark, sf, "pages").select("page_id", found.alias("found"))
