@@ -70,3 +70,15 @@ def test_edges_and_stage(spark, tables):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert len(good & ids) >= 0.98 * len(good) and len(bad & ids) <= 0.05 * len(bad)
     assert Q.keep_good(own, none).columns == own.columns
+
+
+def test_stage_keeps_clashing_columns_and_long_texts(spark, tables):
+    docs, labels = tables
+    wide = docs.selectExpr("*", "0.25D as __score", "'mine' as statistics", "7 as x", "doc_id as quality").limit(200)
+    wide = wide.unionByName(wide.limit(1).selectExpr("cast(null as long) as doc_id", "repeat(text || ' and the rest of it. ', 3000) as text", "lang", "source", "n_chars", "__score", "statistics", "x", "quality"))
+    kept = Q.keep_good(wide, labels)
+    assert kept.columns == wide.columns
+    rows = kept.collect()
+    assert rows and {(r["__score"], r.statistics, r.x) for r in rows} == {(0.25, "mine", 7)}
+    scores = {r.doc_id: r.predicted for r in Q.score_documents(wide, labels).collect()}
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, p in scores.items() if p)

@@ -87,3 +87,12 @@ def test_keep_one_per_group(spark):
     want = {c for _, _, _, c in brute(rows)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
     assert S.keep_one_per_group(docs.limit(0)).count() == 0
+
+
+def test_stage_keeps_clashing_columns(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "f", "r", "g", 3) for i, t in rows], "doc_id long, text string, __fp string, root string, __gone string, component int")
+    kept = S.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {tuple(r)[2:] for r in got} == {("f", "r", "g", 3)} and sorted(r.doc_id for r in got) == sorted({c for _, _, _, c in brute(rows)})
