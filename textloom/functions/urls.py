@@ -14,21 +14,29 @@ from pyspark.sql import types as T
 
 from textloom.functions.geo import COUNTRIES
 
-_LETTER = r"a-z0-9¡-￿"
-_LABEL = rf"[{_LETTER}](?:[{_LETTER}-]*[{_LETTER}])?"
-_BYTE = r"(?:1?\d{1,2}|2(?:[0-4]\d|5[0-5]))"
-_HOST_IP = rf"(?:22[0-3]|2[01]\d|1\d\d|[1-9]\d?)\.{_BYTE}\.{_BYTE}\.(?:1\d\d|[1-9]\d?|2(?:[0-4]\d|5[0-4]))"
-_RESERVED = r"(?:10|127)\.|169\.254\.|192\.168\.|172\.(?:3[01]|2\d|1[6-9])\."
-VALID_URL = rf"^(?:ftp|https?)://(?:[^\s/?#@]+@)?(?:(?!{_RESERVED}){_HOST_IP}|(?:{_LABEL}\.)+[a-z¡-￿]{{2,}})(?::\d{{2,5}})?(?:$|[#/?]\S*$)"
+#: The parts of a URL with an authority: user, host, port and the rest; white space is nowhere.
+_PARTS = r"^(?:ftp|http|https)://([^\s@/?#]+@)?([^\s@/?#:]+)(:[0-9]{2,5})?([/?#]\S*)?$"
+#: A label of a name begins and ends with a letter or digit, in any script of the basic plane.
+_NAME = r"^(?:[0-9a-z\u00a1-\uffff](?:[-0-9a-z\u00a1-\uffff]*[0-9a-z\u00a1-\uffff])?\.)+[a-z\u00a1-\uffff]{2,}$"
 
 _GENERIC = "com org net edu gov mil int info biz name pro aero coop museum io co ai app dev xyz online site shop blog tech cloud news eu tv me cc ws to ly gl fm am mp bar example test".split()
 TLDS = tuple(sorted({*_GENERIC, *(c.lower() for c in COUNTRIES), "uk"}))
 _CANDIDATE = r"(?i)((?:(?:https?|ftp)://(?:[^\s/?#@<>\"']+@)?)?(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}(?::[0-9]{2,5})?(?:[#/?][^\s<>\"']*)?)"
 
 
+def _is_public_address(host: Column) -> Column:
+    """Four numbers that make an address of classes A to C outside the private, local and loopback networks; nets and broadcast addresses are no hosts."""
+    n = [F.split_part(host, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
+    written = host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & ~host.rlike(r"^0|\.0[0-9][0-9]\.|\.0[0-9]+$")
+    private = n[0].isin(10, 127) | ((n[0] == 169) & (n[1] == 254)) | ((n[0] == 192) & (n[1] == 168)) | ((n[0] == 172) & n[1].between(16, 31))
+    return written & n[0].between(1, 223) & n[1].between(0, 255) & n[2].between(0, 255) & n[3].between(1, 254) & ~private
+
+
 def is_valid_url(url: Column) -> Column:
-    """A whole http, https or ftp URL with a public host."""
-    return F.lower(url).rlike(VALID_URL)
+    """A whole http, https or ftp URL with a public host: a name with a top-level domain, or an address."""
+    low = F.lower(url)
+    host = F.regexp_extract(low, _PARTS, 2)
+    return low.rlike(_PARTS) & (host.rlike(_NAME) | F.coalesce(_is_public_address(host), F.lit(False)))
 
 
 def valid_urls(urls: Column) -> Column:
