@@ -13,7 +13,7 @@ from textloom.operators import text as text_ops
 from textloom.plans.columns import SimilarityColumns, TextColumns
 from textloom.plans.pipeline import PipelineInput, Settings, build
 from textloom.sources.avro import schema_id
-from textloom.sources.io import DataRoot
+from textloom.sources.io import DataRoot, read_table
 from textloom.streaming import topics, windows
 
 LANGS = ("de", "en", "es", "fr")
@@ -24,6 +24,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on."""
+    return read_table(spark, f"{sf}/{name}.parquet")
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events with an instant for their time of day, whatever the session's zone."""
     e = _t(spark, sf, "events")
@@ -134,9 +139,9 @@ TAIL = " See https://x.org/a_b now;then(ok)a.B and x_y 3,14 m 15.000 n a,1 1,b c
 
 
 def _all_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    turns = _t(spark, sf, "conversations").select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
-    pages = _t(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    docs = _rows(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    turns = _rows(spark, sf, "conversations").select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    pages = _rows(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
     return docs.unionByName(turns).unionByName(pages)
 
 
@@ -173,34 +178,34 @@ def bag_of_words(spark, sf):
 
 
 def bag_of_words_documents(spark, sf):
-    own = _t(spark, sf, "documents").select("doc_id", F.explode(text.bag_of_words(text.tokens(F.col("text")))).alias("b"))
+    own = _rows(spark, sf, "documents").select("doc_id", F.explode(text.bag_of_words(text.tokens(F.col("text")))).alias("b"))
     return own.select("doc_id", F.col("b._1").alias("word"), F.col("b._2").cast("long").alias("n"))
 
 
 def stop_words(spark, sf):
     lists = text.stop_word_map(LANGS)
-    own = _t(spark, sf, "documents").select("doc_id", text.remove_stop_words(text.tokens(F.col("text")), F.col("lang"), lists, "en").alias("w"))
+    own = _rows(spark, sf, "documents").select("doc_id", text.remove_stop_words(text.tokens(F.col("text")), F.col("lang"), lists, "en").alias("w"))
     return own.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", "|")).alias("digest"))
 
 
 def acronym_inventory(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("text"), F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
+    docs = _rows(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("text"), F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
     found = text_ops.acronym_inventory(text_ops.detect_acronyms([(docs, "text", "language", "words")]))
     return text_ops.stringify_inventory(found).select("acronym", "languages", F.md5("texts").alias("texts"), "expansion")
 
 
 def vocabulary(spark, sf):
-    docs = _t(spark, sf, "documents").select("lang", text.tokens(F.col("text")).alias("words"))
-    turns = _t(spark, sf, "conversations").select(F.lit("en").alias("lang"), text.tokens(F.col("text")).alias("words"))
+    docs = _rows(spark, sf, "documents").select("lang", text.tokens(F.col("text")).alias("words"))
+    turns = _rows(spark, sf, "conversations").select(F.lit("en").alias("lang"), text.tokens(F.col("text")).alias("words"))
     return text_ops.vocabulary([(docs, "lang", "words"), (turns, "lang", "words")]).groupBy("language").agg(F.count("*").alias("n"), F.min("word").alias("first"), F.max("word").alias("last"))
 
 
 def lang_detect(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", language.detect_language(F.col("text"), LANGS, "en").alias("language"))
+    return _rows(spark, sf, "documents").select("doc_id", language.detect_language(F.col("text"), LANGS, "en").alias("language"))
 
 
 def normalize(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(text.normalizer("normalize")("text")).alias("digest"))
+    return _rows(spark, sf, "documents").select("doc_id", F.md5(text.normalizer("normalize")("text")).alias("digest"))
 
 
 # vectors --
@@ -216,7 +221,7 @@ def _dictionary(spark: SparkSession, sf: str, words: DataFrame) -> embeddings.Wo
 
 
 def _doc_words(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", "lang", text.remove_stop_words(text.tokens(F.col("text")), F.col("lang"), text.stop_word_map(LANGS), "en").alias("words"))
+    return _rows(spark, sf, "documents").select("doc_id", "lang", text.remove_stop_words(text.tokens(F.col("text")), F.col("lang"), text.stop_word_map(LANGS), "en").alias("words"))
 
 
 def embed_docs(spark, sf):
@@ -410,7 +415,7 @@ def stream_event_sourcing(spark, sf):
 def search(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
     """Semantic search with the standard stages: documents and a query text, both cleaned, cut to words, embedded; score and boost."""
     body, query = TextColumns("text"), TextColumns("query")
-    docs = _t(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias(body.language))
+    docs = _rows(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias(body.language))
     cut = ("TextCleaner", "Tokenizer", "StopWordsRemover")
     settings = Settings(supported=LANGS, acronyms={})
     docs = materialized(build([PipelineInput([body], cut)], settings).transform(docs).drop("text", body.clean, body.tokens), "words")

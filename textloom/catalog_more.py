@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.catalog import LANGS, _dictionary, _doc_words, _event_stream, _events, _t
+from textloom.catalog import LANGS, _dictionary, _doc_words, _event_stream, _events, _rows, _t
 from textloom.catalog_sql import _PICK, _clean, _dot, _kept, _q, _tokens
 from textloom.config import DEFAULT_BOOSTS, SessionSettings, materialized, scratch_path, string_to_map
 from textloom.functions import geo, text, translit, urls
@@ -322,7 +322,7 @@ def acronym_table(spark, sf):
 
 @_query("SELECT doc_id, md5(replace(strip_accents(text), 'ß', 'ss')) AS digest FROM documents")
 def transliterated(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(translit.transliterator(spark)("text")).alias("digest"))
+    return _rows(spark, sf, "documents").select("doc_id", F.md5(translit.transliterator(spark)("text")).alias("digest"))
 
 
 @_query("SELECT n_nationkey, n_name || '  x    ' AS plain FROM nation")
@@ -359,7 +359,7 @@ def url_expanded(spark, sf):
 @_query("SELECT doc_id, md5(reverse(text)) AS digest FROM documents")
 def udf_stage(spark, sf):
     stage = P.udf_stage("Reverse", "text", "back", lambda t: t[::-1], T.StringType())
-    return P.Pipeline([stage]).transform(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5("back").alias("digest"))
+    return P.Pipeline([stage]).transform(_rows(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5("back").alias("digest"))
 
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)?|[^\p{L}\p{N}_\s]')"
@@ -371,7 +371,7 @@ def annotated(spark, sf):
     kinds = annotate.Annotators()
     kinds.register("again", annotate.tokenize, needs=("tokenize",))
     plans = annotate.LanguagePipelines(kinds, {"en": ["tokenize"], "de": kinds.closure(["again"])}, "en")
-    made = plans.transform(_t(spark, sf, "documents").select("doc_id", "text", "lang"), "text", "lang", "text")
+    made = plans.transform(_rows(spark, sf, "documents").select("doc_id", "text", "lang"), "text", "lang", "text")
     tokens = F.col("text__corenlpTokens")
     return made.select("doc_id", F.size(tokens).cast("long").alias("n"), F.md5(F.array_join(tokens, "|")).alias("digest"), F.when(F.col("text__again").isNotNull(), F.size("text__again").cast("long")).alias("again"))
 
@@ -446,14 +446,14 @@ def country_names(spark, sf):
 
 @_query(f"WITH w AS (SELECT DISTINCT lang, text, unnest(list_filter({_tokens('text')}, " + r"lambda w: regexp_full_match(w, '\p{Lu}+'))) AS acronym FROM documents), t AS (SELECT DISTINCT acronym, text FROM w), r AS (SELECT acronym, md5(text) AS d, row_number() OVER (PARTITION BY acronym ORDER BY md5(text)) AS k FROM t) SELECT acronym, languages, n_texts, examples FROM (SELECT acronym, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, count(DISTINCT text) AS n_texts FROM w GROUP BY acronym) JOIN (SELECT acronym, array_to_string(list(d ORDER BY k), ',') AS examples FROM r WHERE k <= 20 GROUP BY acronym) USING (acronym)")
 def acronym_counts(spark, sf):
-    docs = _t(spark, sf, "documents").select("text", F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
+    docs = _rows(spark, sf, "documents").select("text", F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
     made = text_ops.acronym_counts(text_ops.detect_acronyms([(docs, "text", "language", "words")]))
     return made.select("acronym", F.array_join("languages", ",").alias("languages"), "n_texts", F.array_join(F.transform("examples", F.md5), ",").alias("examples"))
 
 
 @_query(f"SELECT DISTINCT lang AS language, md5(text) AS digest, unnest(list_filter({_tokens('text')}, " + r"lambda w: regexp_full_match(w, '\p{Lu}+'))) AS acronym FROM documents")
 def acronym_texts(spark, sf):
-    docs = _t(spark, sf, "documents").select("text", F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
+    docs = _rows(spark, sf, "documents").select("text", F.col("lang").alias("language"), text.tokens(F.col("text")).alias("words"))
     made = text_ops.acronym_texts(text_ops.detect_acronyms([(docs, "text", "language", "words")]))
     return made.select("acronym", "language", F.md5("text").alias("digest"))
 
@@ -476,7 +476,7 @@ s2 AS (SELECT doc_id, sum(nq * d) / (SELECT sum(n) FROM q) AS c FROM (SELECT doc
 SELECT doc_id, round(greatest(s1.c, s2.c), 3) AS distance FROM s1 JOIN s2 USING (doc_id)""")
 def word_movers_documents(spark, sf):
     """The distance of every document with a word to the first item of the benchmark."""
-    own = _t(spark, sf, "documents").select("doc_id", text.tokens(F.lower("text")).alias("words")).where(F.size("words") > 0)
+    own = _rows(spark, sf, "documents").select("doc_id", text.tokens(F.lower("text")).alias("words")).where(F.size("words") > 0)
     bags = own.select("doc_id", F.lit("en").alias("lang"), text.bag_of_words(F.col("words")).alias("bag"))
     base = _t(spark, sf, "benchmark").orderBy("item_id").limit(1).select(text.bag_of_words(text.tokens(F.lower("text"))).alias("base"), F.lit("en").alias("base_lang"))
     pairs = materialized(bags.crossJoin(F.broadcast(base)), "pairs")
@@ -497,4 +497,4 @@ SELECT page_id, found FROM x WHERE regexp_extract(lower(found), {_q(r'^[a-z]+://
 def url_detect_pages(spark, sf):
     """URLs in the whole markup of every page, and its own."""
     found = F.explode(urls.detect_urls(F.concat_ws(" ", "html", "url")))
-    return _t(spark, sf, "pages").select("page_id", found.alias("found"))
+    return _rows(spark, sf, "pages").select("page_id", found.alias("found"))

@@ -10,6 +10,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for costly work on its rows.
+
+    A row group is read by one task. Where a table has fewer of them than the session has cores, its rows are spread
+    over the cores; a larger one is left as it lies. Footers are looked at only of fewer files than cores.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    footer, conf = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter, spark._jsc.hadoopConfiguration()
+    groups = sum(footer(conf, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))).getBlocks().size() for f in files)
+    return df if groups >= cores else df.repartition(cores)
+
+
 @dataclass(frozen=True)
 class DirectoryContent:
     files: tuple[str, ...]
