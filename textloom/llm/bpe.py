@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from textloom.sources.io import read_table
+
 CACHE_PIECES = 600_000
 #: Longer pieces are encoded each time: the cache is bounded in bytes too.
 CACHE_CHARS = 64
@@ -341,7 +343,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_and_decode(read_table(spark, f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {"op3_byte_bpe": op3_byte_bpe}

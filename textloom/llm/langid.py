@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_crc
+from textloom.sources.io import read_table
 
 UNKNOWN = "und"
 BLOCK = 256
@@ -318,7 +319,7 @@ def keep_known_languages(docs: DataFrame, parser: CrossParser | None = None) ->
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
-    return identify_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify_languages(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op5_language_id": op5_language_id}

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.io import read_table
+
 UNKNOWN = "unknown"
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 4000
 MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.4
@@ -468,7 +470,7 @@ def scan_documents(docs: DataFrame, model: LicenceModel | None = None) -> DataFr
 
 
 def op2_licence_scan(spark, sf_dir: str) -> DataFrame:
-    return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_documents(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op2_licence_scan": op2_licence_scan}

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textloom.sources.io import read_table
+
 RATE, FRAME, LACED, BLOCKS, UNIT = 8000, 512, 8, 8, 64
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -387,7 +389,7 @@ def packet_table(files: DataFrame) -> DataFrame:
 
 
 def op6_matroska(spark, sf_dir: str) -> DataFrame:
-    return store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return store_and_read(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op6_matroska": op6_matroska}

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import staged
+from textloom.sources.io import read_table
 
 CAPACITY = 2048
 CACHE_WORDS = 600_000
@@ -284,7 +285,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(read_table(spark, f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}

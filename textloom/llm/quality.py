@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_crc, free_name, staged
+from textloom.sources.io import read_table
 
 THRESHOLD = 0.3
 TEMPER = 0.3
@@ -171,7 +172,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return score_documents(read("documents"), read("labels"))
+    return score_documents(read_table(spark, f"{sf_dir}/documents.parquet"), read("labels"))
 
 
 QUERIES = {"op8_quality_classifier": op8_quality_classifier}

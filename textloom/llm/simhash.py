@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import free_name, join_side, staged, without
+from textloom.sources.io import read_table
 
 THRESHOLD = 3
 #: Rows a side of one comparison block; two of them make about 10^9 comparisons at most.
@@ -350,7 +351,7 @@ def keep_one_per_group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     marked, _ = near_duplicates(docs)
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 

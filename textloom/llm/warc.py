@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
 from textloom.llm.common import scratch_path, staged, without
+from textloom.sources.io import read_table
 
 MIN_SHARED = 100
 SPLIT = 64 << 20
@@ -431,7 +432,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+    archive(read_table(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     return read_pages(spark, path)
 
 
