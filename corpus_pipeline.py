@@ -10,6 +10,7 @@ from textloom.llm.langid import keep_known_languages
 from textloom.llm.packing import pack
 from textloom.llm.quality import keep_good
 from textloom.llm.simhash import keep_one_per_group
+from textloom.sources.io import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -45,7 +46,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage needed besides its result, and the result before it, go as soon as its own result is written.
     """
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = read_table(spark, f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name.replace(" ", "-"))
         with scratch_scope(spark):
