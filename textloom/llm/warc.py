@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from textloom.llm.common import scratch_path, staged, without
+from textloom.llm.common import join_side, scratch_path, staged, without
 from textloom.sources.io import read_table
 
 MIN_SHARED = 100
@@ -424,7 +424,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
     responses = staged(read_archive(spark, path, ("response",)).select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")), "responses")
     revisits = read_archive(spark, path, ("revisit",), payloads=False).select(number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), F.substring("payload_digest", 8, 64).alias("claimed"))
-    first = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    # only what is referred to, which is little where few pages have many copies: then the copies aren't shuffled at all
+    referred = revisits.select("refers_to", F.col("claimed").alias("payload_digest")).distinct()
+    first = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct().join(referred.hint("shuffle_hash"), ["refers_to", "payload_digest"], "left_semi")
+    first = join_side(staged(first, "referred"), 160)
     resolved = revisits.join(first, (revisits["refers_to"] == first["refers_to"]) & (revisits["claimed"] == first["payload_digest"]))
     resolved = resolved.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), revisits["refers_to"])
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(resolved)
