@@ -109,3 +109,14 @@ def test_string_to_map(monkeypatch):
     assert config.string_to_map("a,1;b;c,x;d,2", int) == {"a": 1, "d": 2}
     monkeypatch.setenv("DEFAULT_OTHER_LANGUAGE_BOOSTS", "fr,1.5")
     assert config.default_boosts() == {"fr": 1.5}
+
+
+def test_transliteration_beside_neighbours_is_icus(spark):
+    """Scripts whose letters change beside one another, against the library itself."""
+    texts = ["人人生而自由", "A人b。人", "日本語の文章です。", "きゃりーぱみゅぱみゅ", "カード ッタ がっこう コンピューター", "αυτός γγ Ευρώπη Αύριο μπορώ", "Привет объект ещё", "नमस्ते दुनिया हिन्दी भाषा", "السلام عليكم", "שלום עולם", "ქართული", "Բարեւ ուր", "straße ÀÉ"]
+    for kind in ("Any-Latin", translit.ANY_LATIN_ASCII):
+        icu = spark._jvm.com.ibm.icu.text.Transliterator.getInstance(kind)
+        own = [t for t in texts if "。" not in t or kind != "Any-Latin"]  # that keeps an ideographic stop at the end only
+        assert [translit.transliterate_string(t, kind) for t in own] == [icu.transliterate(t) for t in own]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(translit.transliterator(spark)("t").alias("a")).collect()
+    assert sorted(r.a for r in got) == sorted(map(translit.any_to_ascii, texts))
