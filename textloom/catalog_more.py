@@ -205,7 +205,7 @@ def _published(spark: SparkSession, sf: str) -> topics.FileTransport:
     return transport
 
 
-_EVENT = T._parse_datatype_string("event_id bigint, value double, event_type string")
+_EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("event_type", T.StringType())])
 _LATEST = "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'"
 
 
