@@ -120,3 +120,21 @@ def test_transliteration_beside_neighbours_is_icus(spark):
         assert [translit.transliterate_string(t, kind) for t in own] == [icu.transliterate(t) for t in own]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(translit.transliterator(spark)("t").alias("a")).collect()
     assert sorted(r.a for r in got) == sorted(map(translit.any_to_ascii, texts))
+
+
+def test_bags_are_counted_without_python_objects():
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from textloom.functions.text import word_counts
+
+    own = [None, [], ["b", None, "a", "b", None]] + [[f"w{(i * j) % 977}" for j in range(1000)] for i in range(300)]
+    lists = pa.array([["cut off"], *own], pa.list_(pa.string())).slice(1)
+    for entries in (1, 1 << 14):
+        assert word_counts(lists, entries).to_pylist() == [None if x is None else [{"_1": w, "_2": n} for w, n in Counter(x).items()] for x in own]
+    tracemalloc.start()
+    word_counts(lists, 1 << 14)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
