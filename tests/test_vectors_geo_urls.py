@@ -190,6 +190,36 @@ def test_movers_shared_or_joined(spark, dictionary):
         assert [x[::2] for x in a] == [x[::2] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b], abs=1e-3)
 
 
+def moved(df):
+    """Rows that were shuffled to write ``df``."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.finalPhysicalPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_rare_words_are_joined(spark, dictionary):
+    bytes_of_three = 3 * 4 * 4
+    rows = [(i, "en", ["King", "man", "man", "woman"] + (["queen", "zz", "queen"] if i % 50 == 7 else [])) for i in range(300)] + [(300, None, ["man"]), (301, "de", None), (302, "de", ["Frau", "xx"]), (303, "en", [])]
+    docs = spark.createDataFrame(rows, "i int, l string, w array<string>")
+    small = lambda df, c: sorted(((r.i, r[c] and [round(x, 5) for x in r[c]]) for r in df.collect()), key=str)
+    mixed = dictionary.embed(docs, "l", "w", "v", max_broadcast=bytes_of_three)
+    assert small(mixed, "v") == small(dictionary.embed(docs, "l", "w", "v"), "v")
+    assert moved(mixed.select("v")) < 2 * len(rows)
+    bags = spark.createDataFrame([(i, "en", [(x.lower(), w.count(x)) for x in dict.fromkeys(w)], [("king", 2), ("desk", 1), ("nope", 1)]) for i, code, w in rows if code == "en"], "i int, l string, bag array<struct<_1:string,_2:int>>, base array<struct<_1:string,_2:int>>")
+    shared, mixed = (wmd.with_distance(bags, dictionary.table, "base", "l", "bag", "l", "d", max_bytes=n) for n in (1 << 30, bytes_of_three))
+    assert sorted((r.i, r.d) for r in mixed.collect()) == sorted((r.i, r.d) for r in shared.collect())
+    assert moved(mixed.select("d")) < 4 * len(rows)
+
+
 def test_pairs_of_many_queries_in_blocks(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "i int, v array<double>")
     queries = spark.createDataFrame([(j, [1.0, float(j)]) for j in range(23)], "share int, q array<double>")
