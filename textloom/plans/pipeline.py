@@ -7,8 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom import config
 from textloom.functions import language as L
@@ -311,13 +313,27 @@ def build(inputs: list[PipelineInput], settings: Settings | None = None) -> Pipe
 
 
 def udf_stage(name: str, input_col: str, output_col: str, function: Callable, return_type) -> Stage:
-    """A stage from a Python function of one value; it runs in Arrow batches."""
+    """A stage from a Python function of one value; it runs in Arrow batches, of which few values are Python objects at once."""
 
-    @F.pandas_udf(return_type)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else function(v))
+    def transform(df: DataFrame) -> DataFrame:
+        kind = T._parse_datatype_string(return_type) if isinstance(return_type, str) else return_type
+        if any(isinstance(t, (T.TimestampType, T.TimestampNTZType)) for t in (kind, df.schema[input_col].dataType)):
+            # pandas has them in the session's zone
 
-    return Stage(name, {"inputCol": input_col}, output_col, lambda df: df.withColumn(output_col, run(F.col(input_col))), lambda r: None if r.get(input_col) is None else function(r[input_col]))
+            @F.pandas_udf(kind)
+            def run(values: pd.Series) -> pd.Series:
+                return values.map(lambda v: None if v is None else function(v))
+
+        else:
+            on_arrays = X.piecewise(function, kind)
+
+            @F.arrow_udf(kind)
+            def run(values: pa.Array) -> pa.Array:
+                return on_arrays(values)
+
+        return df.withColumn(output_col, run(F.col(input_col)))
+
+    return Stage(name, {"inputCol": input_col}, output_col, transform, lambda r: None if r.get(input_col) is None else function(r[input_col]))
 
 
 def word_count_stage(c: TextColumns) -> Stage:
