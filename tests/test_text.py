@@ -138,3 +138,32 @@ def test_bags_are_counted_without_python_objects():
     word_counts(lists, 1 << 14)
     assert tracemalloc.get_traced_memory()[1] < 8_000_000
     tracemalloc.stop()
+
+
+def test_values_become_objects_some_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from textloom.functions.text import piecewise
+
+    texts = pa.array(["cut off", None, *["x" * 2000] * 20_000]).slice(1)
+    tracemalloc.start()
+    got = piecewise(lambda t: t[::-1] + "y", T.StringType())(texts)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+    assert got[0].as_py() is None and got[1].as_py() == "x" * 2000 + "y" and len(got) == 20_001
+    assert piecewise(lambda n: n / 2, T.LongType())(pa.array([4, None, 5])).to_pylist() == [2, None, 2]
+    assert piecewise(lambda n: n + 1, T.LongType())(pa.array([2**53, None])).to_pylist() == [2**53 + 1, None]
+
+
+def test_annotators_take_a_batch_in_pieces(spark):
+    from textloom.operators import annotate
+
+    plans = annotate.LanguagePipelines(annotate.Annotators(), {"en": ["tokenize"], "de": ["tokenize", "ssplit"]}, "en")
+    df = spark.range(700, numPartitions=1).selectExpr("id", "if(id % 7 = 0, null, concat('a b. c', id)) as t", "if(id % 2 = 0, 'de', 'xx') as l")
+    made = plans.transform(df, "t", "l", "t")
+    for r in made.collect():
+        want = (None, None) if r.id % 7 == 0 else (annotate.tokenize(r.t), annotate.split_sentences(r.t) if r.id % 2 == 0 else None)
+        assert (r.t__corenlpTokens, r.t__sentences) == want

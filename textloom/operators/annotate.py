@@ -7,11 +7,15 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.text import piecewise
+
+#: Rows of a batch that are Python objects at once.
+ROWS = 256
 _TOKEN = re.compile(r"\w+(?:['’]\w+)?|[^\w\s]")
 _SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+(?=\s|$)|$)|[^.!?]*[.!?]+")
 _TAG = re.compile(r"<[^>]*>")
@@ -87,11 +91,11 @@ class Annotators:
 
     def udf(self, name: str):
         """Column function text -> array<string> of one annotator."""
-        run = self.get(name).run
+        on_arrays = piecewise(self.get(name).run, T.ArrayType(T.StringType()))
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def annotate(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: run(t) if isinstance(t, str) else None)
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def annotate(texts: pa.Array) -> pa.Array:
+            return on_arrays(texts)
 
         return annotate
 
@@ -129,15 +133,21 @@ class LanguagePipelines:
         plans = {code: [(self.annotators.get(n).column, self.annotators.get(n).run) for n in names] for code, names in self.by_language.items()}
         default, columns = self.default_language, self.columns
 
-        @F.pandas_udf(out)
-        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            for texts, codes in batches:
-                found: dict[str, list] = {c: [None] * len(texts) for c in columns}
-                for i, (t, code) in enumerate(zip(texts, codes, strict=True)):
-                    if isinstance(t, str):
-                        for column, annotate in plans.get(code) or plans[default]:
-                            found[column][i] = annotate(t)
-                yield pd.DataFrame(found, columns=columns)
+        words = pa.list_(pa.string())
+
+        def annotated(texts: list, codes: list) -> pa.Array:
+            found: dict[str, list] = {c: [None] * len(texts) for c in columns}
+            for i, (t, code) in enumerate(zip(texts, codes, strict=True)):
+                if t is not None:
+                    for column, annotate in plans.get(code) or plans[default]:
+                        found[column][i] = annotate(t)
+            return pa.StructArray.from_arrays([pa.array(found[c], words) for c in columns], columns)
+
+        @F.arrow_udf(out)
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, codes in batches:  # some rows at a time are Python objects
+                parts = [annotated(texts.slice(i, ROWS).to_pylist(), codes.slice(i, ROWS).to_pylist()) for i in range(0, len(texts), ROWS)]
+                yield pa.concat_arrays(parts or [annotated([], [])])
 
         made: Column = run(F.col(text), F.col(language))
         return df.withColumn("_annotated", made).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_annotated.{c}").alias(f"{prefix}__{c}") for c in columns])
