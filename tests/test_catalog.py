@@ -65,3 +65,12 @@ def test_every_page_is_expanded(spark, sf):
             now, n = hops[now], n + 1
         want.append((f"u{i}", now, n))
     assert sorted(tuple(r) for r in catalog.url_redirects(spark, small).select("orig", "final", "hops").collect()) == sorted(want)
+
+
+def test_the_vocabulary_of_a_cache_is_written_once(spark, sf):
+    from textloom import config
+
+    made = config._MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    catalog.queries()["dictionary_cache"](spark, sf)
+    assert sum("/used-" in path for path in made[before:]) == 1

@@ -402,7 +402,7 @@ _DICT = f"dict AS (SELECT word, lang, embedding::DOUBLE[] AS v FROM (SELECT DIST
 def dictionary_cache(spark, sf):
     """A dictionary with the words of all documents and others, cut to what the documents use."""
     docs = materialized(_doc_words(spark, sf), "words")
-    used = text_ops.vocabulary([(docs, "lang", "words")]).withColumnRenamed("language", "lang")
+    used = materialized(text_ops.vocabulary([(docs, "lang", "words")]).withColumnRenamed("language", "lang"), "used")
     more = used.select("lang", F.concat("word", F.lit("#")).alias("word"))
     return _dictionary(spark, sf, used.unionByName(more)).restricted_to([(docs, "lang", "words")]).cache_sizes().select("lang", F.col("count").alias("n"))
 
