@@ -266,3 +266,33 @@ def test_stop_ends_under_steady_input(spark, tmp_path):
         pass
     multi.stop_after_batch(query, 30)
     assert not query.isActive
+
+
+def test_compiled_codecs_do_as_the_plain_ones():
+    import math
+
+    from textloom.sources import avro
+
+    deep = {"type": "record", "name": "d", "fields": [{"name": "s", "type": ["string", "null"]}, {"name": "m", "type": {"type": "map", "values": "long"}}, {"name": "e", "type": {"type": "enum", "name": "e", "symbols": ["A", "B"]}}]}
+    schema = {"type": "record", "name": "r", "fields": [{"name": "n", "type": ["null", "long"]}, {"name": "x", "type": "double"}, {"name": "b", "type": ["bytes", "null"]}, {"name": "a", "type": [{"type": "array", "items": ["string", "null"]}, "null"]}, {"name": "d", "type": [deep, "null"]}]}
+    reader = schema | {"fields": [*schema["fields"][::-1], {"name": "new", "type": ["string", "null"], "default": "none"}]}
+    d = lambda s, e: {"s": s, "m": [("k", 1), ("l", -70)], "e": e}
+    for n, x, b, a, inner in ((None, 1.5, b"\0", None, None), (2**53 + 1, math.inf, None, [], d(None, "B")), (-(2**63), -0.0, b"", ["é" * 70, None, ""], d("s" * 9000, "A"))):
+        row = {"n": n, "x": x, "b": b, "a": a, "d": inner}
+        raw = avro.encode(schema, row)
+        assert avro.encoder(schema)(row) == raw
+        assert avro.decoder(schema)(b"head" + raw, 4) == avro.decode(schema, b"head" + raw, 4)
+        assert avro.resolver(reader)(avro.decoder(schema)(raw, 0)[0]) == avro.resolve(avro.decode(schema, raw)[0], reader)
+    import pytest
+
+    for bad in (None, {"x": None}):
+        for write in (avro.encoder(schema), lambda v: avro.encode(schema, v)):
+            with pytest.raises((ValueError, AttributeError)):
+                write(bad)
+
+
+def test_a_value_is_encoded_once_on_its_way_back(spark, sf):
+    from textloom import catalog
+
+    evaluated = [line for line in catalog.queries()["avro_two_writers"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in line]
+    assert [line.count("run(") for line in evaluated] == [2, 2]
