@@ -226,3 +226,29 @@ def test_pairs_of_many_queries_in_blocks(spark):
     for limit in (100, 5):
         got = scoring.score_pairs(df, queries, "v", "q", "s", limit, 3)
         assert got.columns == ["i", "v", "share", "q", "s"] and sorted((r.i, r.share, r.s) for r in got.collect()) == [(i, j, float(i + j)) for i in range(40) for j in range(23)]
+
+
+def test_rows_meet_many_queries_without_a_copy(spark):
+    """As rows times queries, but packed: a row is shuffled once, whatever the number of queries, and not a digit differs."""
+    odd = [None, [], [1.0, None, 3.0], [float("inf"), 2.0], [float("nan")], [0.1, 0.2, 0.3, 0.4], [-0.0, 1e300], [1e-300, None]]
+    df = spark.createDataFrame([(i, odd[i] if i < len(odd) else [0.1 * i, 1 / (i + 1), 0.7]) for i in range(1300)], "i int, v array<double>")
+    queries = spark.createDataFrame([(j, odd[j] if j < len(odd) else [0.3, 0.01 * j, -1.7 / (j + 1)]) for j in range(90)], "j int, q array<double>")
+    want, got = (scoring.score_pairs(df, queries, "v", "q", "s", limit, 3) for limit in (100, 2))
+    assert got.count() == 1300 * 90 and got.schema.simpleString() == want.schema.simpleString()
+    key = lambda rows: sorted((r.i, r.j, str(r.v), str(r.q), str(r.s)) for r in rows.where("i < 40 or i % 97 = 0").collect())
+    assert key(got) == key(want)
+    for kind in ("array<float>", "array<int>", "array<decimal(9,3)>"):
+        small = [f.where(f"{c} between 8 and 30").withColumn(x, F.col(x).cast(kind)).select(c, x) for f, c, x in ((df, "i", "v"), (queries, "j", "q"))]
+        want, got = (sorted(map(str, scoring.score_pairs(*small, "v", "q", "s", limit, 3).collect())) for limit in (100, 2))
+        assert got == want and len(want) == 23 * 23
+    assert moved(scoring.score_pairs(df, queries, "v", "q", "s", 2, 3)) <= 1300 + 90
+    want, got = (scoring.score_pairs(df.where("i > 1200"), queries.where("j > 80"), "v", "q", "i", limit, 3) for limit in (100, 2))
+    assert got.columns == ["i", "v", "j", "q"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rounding_is_sparks(spark):
+    near = [x for n in (0, 1, 7, 499, 123_456, 10**9) for half in (0.0, 0.5) for x in ((n + half) / 1000, math.nextafter((n + half) / 1000, 2e9), math.nextafter((n + half) / 1000, -1.0))]
+    xs = [*near, *(-x for x in near), *(float(np.float32(math.sin(i))) for i in range(3000)), 1e300, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    rows = df.select(vectors.rounded(F.col("x"), 3).alias("a"), F.round("x", 3).alias("b")).collect()
+    assert [str(r.a) for r in rows] == [str(r.b) for r in rows]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from textloom.catalog import LANGS, _dictionary, _doc_words, _event_stream, _events, _rows, _t
 from textloom.catalog_sql import _PICK, _clean, _dot, _kept, _q, _tokens
 from textloom.config import DEFAULT_BOOSTS, SessionSettings, materialized, scratch_path, string_to_map
-from textloom.functions import geo, text, translit, urls
+from textloom.functions import geo, text, translit, urls, vectors
 from textloom.operators import annotate, frames, places, scoring, wmd
 from textloom.operators import text as text_ops
 from textloom.plans import pipeline as P
@@ -420,7 +420,7 @@ def score_pairs(spark, sf):
     own = _t(spark, sf, "embeddings")
     asked = own.where("vec_id % 97 = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     made = scoring.score_pairs(own, asked, "embedding", "query", "score", max_queries=2)
-    return made.select("vec_id", "query_id", F.round(F.col("score").cast("double"), 3).alias("score"))
+    return made.select("vec_id", "query_id", vectors.rounded(F.col("score").cast("double"), 3).alias("score"))
 
 
 @_query("SELECT n_name AS place, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 1.5 WHEN n_nationkey % 3 = 1 THEN length(n_name) * 2.0 ELSE 0 END::DOUBLE AS latitude, CASE WHEN n_nationkey % 3 = 0 THEN 7.0 WHEN n_nationkey % 3 = 1 THEN -1.0 ELSE 0 END::DOUBLE AS longitude FROM nation")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.config import free_name, materialized
+from textloom.config import materialized
 from textloom.functions.vectors import ROW_AGGREGATES, boosted, linear_weighted, similarity
 
 
@@ -26,23 +32,79 @@ def score_documents(df: DataFrame, vector: str, language: str, query_vector: lis
     return df.withColumn(output, boosted(similarity(F.col(vector), query), F.lit(query_language), F.col(language), boosts))
 
 
+#: Rows of a tile as a power of two, and its queries: so many meet at once. Queries that one task reads, about.
+TILE_BITS, TILE_QUERIES, TASK_QUERIES = 8, 1024, 1 << 16
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of any lengths in double precision, zeros after their ends; where elements are; where vectors are."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0), np.int64)
+    there = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    elements = vectors.flatten()
+    values, known = np.zeros(there.shape), there.copy()
+    values[there] = np.asarray(pc.fill_null(elements.cast(pa.float64(), safe=False), 0.0))
+    known[there] = np.asarray(pc.is_valid(elements))
+    return values, known, np.asarray(pc.is_valid(vectors))
+
+
+def tile_scores(rows: pa.Array, queries: pa.Array) -> pa.Array:
+    """``similarity`` of every row with every query, row by row: products are summed in the vectors' order, so not a digit differs."""
+    (a, a_known, a_there), (b, b_known, b_there) = _matrix(rows), _matrix(queries)
+    scores, rest = np.empty((len(a), len(b)), np.float32), np.ascontiguousarray(b.T)
+    with np.errstate(all="ignore"):
+        for i in range(0, len(a), 32):  # few rows at once stay in the processor's cache
+            part, known = a[i : i + 32], a_known[i : i + 32]
+            total = np.zeros((len(part), len(b)))
+            product = np.empty_like(total)
+            for k in range(min(a.shape[1], b.shape[1])):
+                np.multiply(part[:, k, None], rest[k], out=product)
+                if not (known[:, k].all() and b_known[:, k].all()):  # what meets a null counts as zero, even where it is infinite
+                    product[~(known[:, k, None] & b_known[:, k])] = 0.0
+                total += product
+            scores[i : i + 32] = total
+    if a_there.all() and b_there.all():
+        return pa.array(scores.ravel())
+    return pa.array(scores.ravel(), mask=~(a_there[:, None] & b_there).ravel())
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _tile_scores(tiles: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for rows, queries in tiles:
+        for i in range(len(rows)):  # a tile at a time, however many came at once
+            scores = tile_scores(rows[i].values, queries[i].values)
+            yield pa.ListArray.from_arrays(pa.array([0, len(scores)], pa.int32()), scores)
+
+
+def _packed(df: DataFrame, vector: str, key: Column, tasks: int, name: str) -> DataFrame:
+    """Rows of equal key as an array ``name`` of structs with fields by position, and their vectors."""
+    position = df.columns.index(vector)
+    kept = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    grouped = kept.select(F.struct("*").alias(name), key.alias("key")).repartition(tasks, "key").groupBy("key").agg(F.collect_list(name).alias(name))
+    vectors = F.col(f"{name}.c{position}")
+    exact = isinstance(kept.schema[position].dataType.elementType, T.FloatType | T.DoubleType)
+    return grouped.select(name, (vectors if exact else vectors.cast("array<array<double>>")).alias(f"{name}_vectors"))
+
+
 def score_pairs(df: DataFrame, queries: DataFrame, vector: str, query_vector: str, output: str, max_queries: int = 10_000, spread: int = 64) -> DataFrame:
     """Every row against every query of a stated set: the queries are counted and, up to ``max_queries``, shared.
 
-    Beyond that they are cut into blocks of about that many; rows and blocks meet by (block, share of the rows), each
-    pair in one of ``spread`` tasks a block. The result has rows times queries rows either way; to find the nearest
-    few only, search an index.
+    Beyond that nothing is shared. Rows are packed by the hundred in ``spread`` parts, each of which meets the packed
+    queries, so many of them a task; a tile of both is scored at once and taken apart again by position. A row is
+    shuffled once and never copied. The result has rows times queries rows either way; to find the nearest few only,
+    search an index.
     """
     for frame, column in ((df, vector), (queries, query_vector)):
         if frame.schema[column].dataType.typeName() != "array":
             raise ValueError(f"column {column!r} holds no vectors")
     n = queries.count()
-    score = similarity(F.col(vector), F.col(query_vector))
     if n <= max_queries:
-        return df.crossJoin(F.broadcast(queries)).withColumn(output, score)
-    blocks = -(-n // max_queries)
-    block, share = (free_name(df.crossJoin(queries), name) for name in ("block", "share"))
-    cut = materialized(queries.withColumn(block, F.floor(F.rand(7) * blocks).cast("int")), "query-blocks")
-    right = cut.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    left = df.withColumn(share, F.floor(F.rand(11) * spread).cast("int")).withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.join(right.hint("shuffle_hash"), [block, share]).drop(block, share).withColumn(output, score)
+        return df.crossJoin(F.broadcast(queries)).withColumn(output, similarity(F.col(vector), F.col(query_vector)))
+    left = _packed(df, vector, F.shiftright(F.monotonically_increasing_id(), TILE_BITS), spread, "rows")
+    right = _packed(materialized(queries, "queries"), query_vector, F.floor(F.rand(7) * -(-n // TILE_QUERIES)), -(-n // TASK_QUERIES), "queries")
+    tiles = left.join(right.hint("shuffle_replicate_nl")).withColumn("scores", _tile_scores("rows_vectors", "queries_vectors"))
+    at = tiles.select("rows", "queries", F.posexplode_outer("scores").alias("at", "score"))  # never empty; without "outer", a filter for that has the scores computed twice
+    row, query = F.get("rows", F.expr("at div size(queries)")), F.get("queries", F.expr("at % size(queries)"))
+    names = [*df.columns, *queries.columns]
+    columns = [of[f"c{i}"] for of, frame in ((row, df), (query, queries)) for i in range(len(frame.columns))]
+    made = [(F.col("score") if c.lower() == output.lower() else x).alias(c) for c, x in zip(names, columns, strict=True)]
+    return at.select(*made, *[F.col("score").alias(output)] * (output.lower() not in map(str.lower, names)))
