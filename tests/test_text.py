@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,21 @@ def test_clean_text_on_frames_and_rows(spark):
     assert one == "the Information Technology IT"  # separators are consumed
 
 
+def test_quick_forms_of_rules_give_the_same(spark):
+    """The forms that begin with a sign against the plain ones, on texts where matches touch; a text isn't scanned to learn whether to scan it."""
+    pick = random.Random(5)
+    alphabets = [["a", ",", "1", "𝒶"], ["1", "2", ",", ".", "3"], ["(", "a", " ", ")"], [":", ";", ")", "x", " ", "/"], ["/", "a", "\n"], ["a", ".", "A", "1", "𝒶", "𝒜"], list("abAÉé123,.;:)( /_\n\r-´中\t") + ["𝒶", "😀"]]
+    df = spark.createDataFrame([("".join(pick.choices(a, k=pick.randint(1, 12))),) for a in alphabets for _ in range(1500)], "x string")
+    for name, pattern, new in text.RULES:
+        if name in text.FAST and not name.startswith("comma_"):
+            rows = df.select("x", F.regexp_replace("x", pattern, new).alias("want"), text.guarded_rule(F.col("x"), name, pattern, new).alias("got")).collect()
+            assert [r for r in rows if r.want != r.got] == [], name
+    made = ops.with_clean_text(df.withColumn("want", text.apply_rules(F.col("x"))), "x", "got")
+    assert [r for r in made.collect() if r.want != r.got] == []
+    plan = ops.with_clean_text(df, "x", "got")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
+
+
 def test_tokens_stop_words_and_bags(spark):
     df = spark.createDataFrame([("Das Haus und Ärger x1", "de"), ("a the Ab ab ab", "xx"), (None, "en"), ("the end", None)], "t string, l string")
     toks = text.tokens(F.col("t"))

@@ -9,7 +9,7 @@ from textloom.functions import text as X
 
 
 def with_clean_text(df: DataFrame, column: str, output: str, acronyms: dict[str, str] | None = None) -> DataFrame:
-    """Adds the cleaned text. Every step is a projection of its own over the one before, so that a text is tested cheaply before a costly step rewrites it; rows that mention no acronym take a short cut."""
+    """Adds the cleaned text. Every step is a projection of its own over the one before, so that a text is tested for a sign before a costly step rewrites it; rows that mention no acronym take a short cut."""
     # the optimizer doesn't merge a projection into one that uses its costly result several times, so each step runs once
     made = df.withColumn(output, F.col(column))
     for name, pattern, new in X.RULES:
