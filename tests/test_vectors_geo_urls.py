@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -246,6 +247,36 @@ def test_rows_meet_many_queries_without_a_copy(spark):
     assert got.columns == ["i", "v", "j", "q"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_few_pairs_are_summed_in_order(monkeypatch):
+    """Matrix products decide all but a few scores, and these are equal to the sums in the vectors' order to the digit."""
+    slow, in_order = [], scoring._in_order
+    monkeypatch.setattr(scoring, "_in_order", lambda *x: slow.append((made := in_order(*x)).size) or made)
+    g = np.random.default_rng(3)
+    odd = [[0.0] * 5, [-0.0, 1e-200, -1e-160], [1e150, -1e150, 1e-320], [1e300, -1e300, 1.0], [math.inf, 0.0], [math.nan], [None, 1.0], [0.0, None], None, [], [0.1, -0.1, 1e-9], [3e38, 1.0], [1.0, 0.0, -1.0], [0.0, 1.0, 0.0], [-1e-45, 1e-23]]
+    ints = [[float(x) for x in g.integers(-2, 3, 7)] for _ in range(40)]
+    sets = {"plain": [[list(g.normal(size=64)) for _ in range(n)] for n in (200, 300)], "odd": [odd, odd + ints], "ints": [ints, ints]}
+    for name, (rows, queries) in sets.items():
+        slow.clear()
+        got = scoring.tile_scores(pa.array(rows, pa.list_(pa.float64())), pa.array(queries, pa.list_(pa.float64()))).to_pylist()
+        want = []
+        with np.errstate(all="ignore"):
+            for a in rows:
+                for b in queries:
+                    total = 0.0
+                    for x, y in zip(a or (), b or (), strict=False):
+                        total += 0.0 if x is None or y is None else x * y
+                    want.append(None if a is None or b is None else float(np.float32(total)))
+        assert list(map(str, got)) == list(map(str, want))  # signs of zeros too
+        assert name != "plain" or sum(slow) < len(want) / 1000
+        assert name != "ints" or 0 < sum(slow) < len(want)
+
+
+def test_parts_of_rows_grow_with_the_queries(spark):
+    df, queries = (spark.range(n).select(F.col("id").alias(c), F.array(F.col("id").cast("double")).alias(v)) for n, c, v in ((50, "i", "v"), (290, "j", "q")))
+    got = scoring.score_pairs(df, queries, "v", "q", "s", 2, 1)
+    assert got.rdd.getNumPartitions() == 10 and got.where("s = i * j").count() == 50 * 290
+
+
 def test_rounding_is_sparks(spark):
     near = [x for n in (0, 1, 7, 499, 123_456, 10**9) for half in (0.0, 0.5) for x in ((n + half) / 1000, math.nextafter((n + half) / 1000, 2e9), math.nextafter((n + half) / 1000, -1.0))]
     xs = [*near, *(-x for x in near), *(float(np.float32(math.sin(i))) for i in range(3000)), 1e300, math.inf, -math.inf, math.nan, None]
